@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from attestry import params as P
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
@@ -69,7 +74,7 @@ def norm_numbers(c: Column, parity: bool = False) -> Column:
     iso_guard = "" if parity else r"(?!\d{3}-\d{2}-\d{2}\b)"
     zero_guard = "" if parity else r"(?!\d+-\d{2}-\d{2}\b)"
     c = replace(c, r"(?U)\b(?=\d{4,}\b)" + zero_guard + r"0+(?=\d)")
-    c = replace(c, r"(?U)(?<=\b\d{1,60})(?=(?:\d{3})+\b)" + iso_guard, ",")
+    c = replace(c, r"(?U)(?=(?:\d{3})+\b)" + iso_guard + r"(?<=\b\d{1,60})", ",")
     c = replace(c, r"(\d+)\s*％", "$1%")
     c = replace(c, r"(\d+)\s*퍼센트", "$1%")
     for frac, dec in (("1/2", "0.5"), ("1/3", "0.33"), ("1/4", "0.25"), ("3/4", "0.75")):
@@ -78,11 +83,17 @@ def norm_numbers(c: Column, parity: bool = False) -> Column:
 
 
 def norm_currency(c: Column, parity: bool = False) -> Column:
-    """P5. Amounts before the currency sign: plain digits get commas, unit words become digits."""
+    """P5. Amounts before the currency sign: plain digits get commas, unit words become digits.
+
+    A text without the sign is passed through after one substring test."""
+    return let(c, lambda t: F.when(t.contains("원"), _currency(t, parity)).otherwise(t))
+
+
+def _currency(c: Column, parity: bool) -> Column:
     head = r"(?<!\d)" if parity else r"(?<![\d,])"
     c = replace(c, r"(\d)\s*원", "$1원")
     c = replace(c, head + r"0+(?=\d+원)")
-    c = replace(c, rf"(?<={head}\d{{1,60}})(?=(?:\d{{3}})+원)", ",")
+    c = replace(c, rf"(?=(?:\d{{3}})+원)(?<={head}\d{{1,60}})", ",")
     units = list(P.CURRENCY_UNITS.items())
     if not parity:
         units.sort(key=lambda kv: -len(kv[0]))
@@ -91,7 +102,7 @@ def norm_currency(c: Column, parity: bool = False) -> Column:
         c = replace(c, rf"(\d+)\s*{unit}\s*원", f"\x02$1{zeros}\x03원")
         c = replace(c, rf"\s*{unit}\s*원", f"\x02{value}\x03원")
         c = replace(c, r"\x020+(?=\d)", "\x02")
-        c = replace(c, r"(?<=\x02\d{1,60})(?=(?:\d{3})+\x03)", ",")
+        c = replace(c, r"(?=(?:\d{3})+\x03)(?<=\x02\d{1,60})", ",")
         c = replace(c, r"[\x02\x03]")
     return c
 

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attestry.functions.normalize import norm_compare
+from attestry.functions.normalize import let, norm_compare
 from attestry.functions.patterns import find_all
 from attestry.functions.tokens import char_ngrams, words
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside one expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """U2. |a ∩ b| / |a ∪ b| of two arrays of distinct elements, 0 when either is empty."""
     return let(
