@@ -56,7 +56,8 @@ def column_edges(words: DataFrame, pages: DataFrame, mode: str = "gaps") -> Data
     ``gaps``: centres of the words in the top fifth, the five widest gaps over 30 pt; ``header``: the row with
     the most header terms, the widest 40 % of its gaps.  Pages without either get equal parts.
     """
-    w = words.withColumn("_c", (F.col("x0") + F.col("x1")) / 2)
+    centre = (F.col("x0") + F.col("x1")) / 2
+    w = words.withColumn("_c", centre)
     if mode == "gaps":
         heads = (
             w.join(pages, PAGE)
@@ -73,7 +74,7 @@ def column_edges(words: DataFrame, pages: DataFrame, mode: str = "gaps") -> Data
         edges = F.coalesce(F.concat(F.array(F.lit(0.0)), F.col("_m"), F.array(F.col("width").cast("double"))), equal)
         out = pages.join(mids, PAGE, "left").select(*PAGE, edges.alias("edges"))
         return out.withColumn("last_col_start", F.element_at("edges", -2))
-    rows = anchor_rows(w.where("y1 < 220"), 5.0)
+    rows = anchor_rows(words.where("y1 < 220"), 5.0).withColumn("_c", centre)
     score = sum((F.when(F.col("_text").contains(t), 1).otherwise(0) for t in P.HEADER_TERMS), F.lit(0))
     row = rows.groupBy(*PAGE, "row_y").agg(
         F.sort_array(F.collect_list(F.struct("x0", "_c"))).alias("_w"), F.concat_ws(" ", F.collect_list("text")).alias("_text"))
