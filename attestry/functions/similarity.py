@@ -12,10 +12,8 @@ from attestry.functions.tokens import char_ngrams, words
 
 def jaccard(a: Column, b: Column) -> Column:
     """U2. |a ∩ b| / |a ∪ b| of two arrays of distinct elements, 0 when either is empty."""
-    return let(
-        F.size(F.array_intersect(a, b)),
-        lambda inter: F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(inter / (F.size(a) + F.size(b) - inter)),
-    )
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("i"), F.size(a).alias("a"), F.size(b).alias("b"))
+    return let(sizes, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(n["i"] / (n["a"] + n["b"] - n["i"])))
 
 
 def overlap_ratio(prev: Column, cur: Column) -> Column:
@@ -37,8 +35,10 @@ def ngram_jaccard(a: Column, b: Column, n: int = 2) -> Column:
 
 def share_contained(parts: Column, text: Column) -> Column:
     """Share of array elements that occur in the text, 0 for an empty array."""
-    hits = F.size(F.filter(parts, lambda k: text.contains(k)))
-    return F.when(F.size(parts) == 0, 0.0).otherwise(hits / F.size(parts))
+    # Both sides are bound first: an expression captured by a lambda would be evaluated once per element.
+    both = F.struct(parts.alias("p"), text.alias("t"))
+    return let(both, lambda b: F.when(F.size(b["p"]) == 0, 0.0).otherwise(
+        F.size(F.filter(b["p"], lambda k: b["t"].contains(k))) / F.size(b["p"])))
 
 
 def number_match(keywords: Column, text: Column) -> Column:
@@ -72,14 +72,16 @@ def keyword_relevance(keywords: Column, text: Column, text_ngrams: Column | None
     return F.when(F.size(keywords) == 0, 0.2).otherwise(let(parts, combine))
 
 
-def content_similarity_normed(na: Column, nb: Column, wa: Column | None = None, wb: Column | None = None) -> Column:
-    """V11 on texts already in comparison form, optionally with their word arrays."""
-    wa = find_all(na, r"\S+") if wa is None else wa
-    wb = find_all(nb, r"\S+") if wb is None else wb
-    longer = F.filter(wa, lambda w: F.length(w) > 2)
-    j = jaccard(F.array_distinct(wa), F.array_distinct(wb))
-    mixed = let(longer, lambda lw: F.when(F.size(lw) > 0, j * 0.6 + share_contained(lw, nb) * 0.4).otherwise(j))
-    return F.when((na == "") | (nb == ""), 0.0).when(nb.contains(na), 1.0).otherwise(mixed)
+def content_similarity_normed(na: Column, nb: Column, wb: Column | None = None) -> Column:
+    """V11 on texts already in comparison form; ``wb`` are the distinct words of ``nb`` when already known."""
+    wb = F.array_distinct(find_all(nb, r"\S+")) if wb is None else wb
+
+    def score(wa: Column) -> Column:
+        longer = F.filter(wa, lambda w: F.length(w) > 2)
+        j = jaccard(F.array_distinct(wa), wb)
+        return let(longer, lambda lw: F.when(F.size(lw) > 0, j * 0.6 + share_contained(lw, nb) * 0.4).otherwise(j))
+
+    return F.when((na == "") | (nb == ""), 0.0).when(nb.contains(na), 1.0).otherwise(let(find_all(na, r"\S+"), score))
 
 
 def content_similarity(a: Column, b: Column) -> Column:
@@ -100,16 +102,16 @@ def multiset_f1(a: Column, b: Column) -> Column:
     an ordinary set intersection, so no explode or join is needed."""
     def numbered(x: Column) -> Column:
         # Sorted tokens; the k-th copy of a token is its index minus the token's first index.
-        s = F.array_sort(x)
-        return F.transform(s, lambda t, i: F.concat_ws("#", t, (i - F.array_position(s, t)).cast("string")))
+        return let(F.array_sort(x), lambda s: F.transform(
+            s, lambda t, i: F.concat_ws("#", t, (i - F.array_position(s, t)).cast("string"))))
 
     # 2pr / (p + r) with p = same/|a| and r = same/|b| is 2 same / (|a| + |b|).
-    same = F.size(F.array_intersect(numbered(a), numbered(b)))
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
-        .when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
-        .otherwise(2 * same / (F.size(a) + F.size(b)))
-    )
+    def score(m: Column) -> Column:
+        na, nb = F.size(m["a"]), F.size(m["b"])
+        same = F.size(F.array_intersect(numbered(m["a"]), numbered(m["b"])))
+        return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(2 * same / (na + nb))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def token_f1(prediction: Column, reference: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestry import params as P
-from attestry.functions.normalize import collapse, replace
+from attestry.functions.normalize import collapse, let, replace
 from attestry.functions.patterns import find_all
 
 WORD_CLASS = {"any": r"\p{L}", "hangul": "가-힣"}
@@ -106,30 +106,32 @@ def char_ngrams(c: Column, n: int = 2) -> Column:
     return F.array_distinct(find_all(c, "(?s)(?=(" + "." * n + "))", 1))
 
 
+def _chars(word: Column) -> Column:
+    return F.filter(F.split(word, ""), lambda ch: ch != "")
+
+
 def char_entropy(word: Column) -> Column:
     """A15. Shannon entropy of the characters, bits."""
-    chars = F.filter(F.split(word, ""), lambda ch: ch != "")
-    n = F.size(chars).cast("double")
-
-    def term(ch: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == ch)) / n
-        return -p * F.log2(p)
+    def total(chars: Column) -> Column:
+        share = lambda ch: F.size(F.filter(chars, lambda x: x == ch)) / F.size(chars).cast("double")
+        term = lambda ch: let(share(ch), lambda p: -p * F.log2(p))
+        return F.aggregate(F.transform(F.array_distinct(chars), term), F.lit(0.0), lambda a, x: a + x)
 
-    return F.aggregate(F.transform(F.array_distinct(chars), term), F.lit(0.0), lambda a, x: a + x)
+    return let(_chars(word), total)
 
 
 def char_diversity(word: Column) -> Column:
     """A15. Distinct characters over length."""
-    chars = F.filter(F.split(word, ""), lambda ch: ch != "")
-    return F.size(F.array_distinct(chars)) / F.size(chars).cast("double")
+    return let(_chars(word), lambda ch: F.size(F.array_distinct(ch)) / F.size(ch).cast("double"))
 
 
 def repetitive_suffix(word: Column) -> Column:
     """K3. The last two or three characters occur twice, or are one repeated character (words of 4+)."""
     def check(k: int) -> Column:
         suffix = F.substring(word, -k, k)
-        occurrences = F.size(F.split(word, F.concat(F.lit(r"\Q"), suffix, F.lit(r"\E")))) - 1
-        same = F.size(F.array_distinct(F.filter(F.split(suffix, ""), lambda x: x != ""))) == 1
+        # Occurrences without overlap: what is left after removing them, in units of k characters.
+        occurrences = (F.length(word) - F.length(F.replace(word, suffix, F.lit("")))) / F.lit(k)
+        same = F.size(F.array_distinct(_chars(suffix))) == 1
         return (occurrences > 1) | same
 
     return (F.length(word) >= 4) & (check(2) | check(3))

@@ -85,7 +85,7 @@ def a5c(spark, sf):
     d = load_table(spark, sf, "documents").select("doc_id", "source")
     l = load_table(spark, sf, "labels").withColumn("seen", F.lit(True))
     return d.join(l, "doc_id", "left").groupBy("source").agg(
-        F.count(F.lit(1)).alias("docs"), F.count_if("seen").alias("reviewed"), F.count_if("quality = 0").alias("low_quality"), F.count_if("toxic = 1").alias("toxic"))
+        F.count(F.lit(1)).alias("docs"), F.count_if("seen").alias("reviewed"), F.count_if(F.col("quality") == 0).alias("low_quality"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
 
 @register("a6_performance_counts", f"WITH {LOG}, {PI} SELECT issue, count(*) AS rows FROM pi GROUP BY issue")
