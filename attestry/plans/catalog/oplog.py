@@ -13,7 +13,10 @@ from attestry.sources import records as SR
 
 
 def logs(spark, sf):
-    e = load_table(spark, sf, "events")
+    return project_logs(load_table(spark, sf, "events"))
+
+
+def project_logs(e):
     k = F.from_json("props", "k bigint")["k"]
     conf = (F.col("event_id") % 100) / F.lit(100.0)
     return e.select(

@@ -17,6 +17,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables and stream state."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives executor loss and is not recomputed by later operators."""
     _checkpoint_dir(df.sparkSession)
