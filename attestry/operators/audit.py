@@ -19,6 +19,7 @@ from attestry.functions.similarity import jaccard, ngram_jaccard, share_containe
 from attestry.functions.tokens import WORD_CLASS, split_sentences
 from attestry.operators.chunking import evidence_units
 from attestry.params import Params
+from attestry.scale import spread
 
 
 def evidence_text(evidence: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def audit_pairs(responses: DataFrame, evidence: DataFrame) -> DataFrame:
     """V1. Response text (answer, facts, details) beside its evidence text."""
     facts = F.array_join(F.coalesce("key_facts", F.array().cast("array<string>")), " ")
     text = F.concat("answer", F.lit(" "), facts, F.lit(" "), F.coalesce("details", F.lit("")))
-    j = responses.join(evidence_text(evidence), "response_id", "left")
+    # One partitioning by response for the join and for the CPU-bound measures that follow.
+    j = spread(responses, "response_id").join(evidence_text(evidence), "response_id", "left")
     return j.withColumn("response_text", text).withColumn("evidence_text", F.coalesce("evidence_text", F.lit(""))).withColumn(
         "n_evidence", F.coalesce("n_evidence", F.lit(0)))
 
@@ -103,7 +105,7 @@ def entity_variations(responses: DataFrame, evidence: DataFrame, script: str = "
     four characters, a common prefix of two.  The similarity bound also bounds the lengths: 2 min/(m+n) > .7."""
     m, n = F.length("a"), F.length("b")
     pairs = _entity_pairs(responses, evidence, entity_pattern(script), 4, 2, 2 * F.least(m, n) > 0.7 * (m + n))
-    scores = pairs.select("a", "b").distinct().withColumn("similarity", sequence_ratio(F.col("a"), F.col("b"))).where("similarity > 0.7 AND similarity < 0.95")
+    scores = spread(pairs.select("a", "b").distinct(), "a", "b").withColumn("similarity", sequence_ratio(F.col("a"), F.col("b"))).where("similarity > 0.7 AND similarity < 0.95")
     hit = pairs.join(scores, ["a", "b"])
     best = hit.groupBy("response_id", "a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", "b")).alias("m"))
     return best.select("response_id", F.col("a").alias("entity"), F.col("m.b").alias("similar_to"), F.round("m.similarity", 6).alias("similarity"))
@@ -147,7 +149,7 @@ def entity_corrections(responses: DataFrame, evidence: DataFrame, script: str =
     same = F.transform(F.sequence(F.lit(1), shorter), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
     prefix = F.size(F.filter(same, lambda x: x)) / shorter
     # The cheap parts decide first: sequence similarity counts for at most .5.
-    cheap = pairs.select("a", "b").distinct().withColumn("_c", ngram_jaccard(a, b) * 0.3 + prefix * 0.2).where(F.col("_c") + 0.5 > threshold)
+    cheap = spread(pairs.select("a", "b").distinct(), "a", "b").withColumn("_c", ngram_jaccard(a, b) * 0.3 + prefix * 0.2).where(F.col("_c") + 0.5 > threshold)
     scored = cheap.withColumn("seq", sequence_ratio(a, b)).withColumn("score", F.col("seq") * 0.5 + F.col("_c")).where(
         (F.col("score") > threshold) & (F.col("seq") > threshold))
     best = pairs.join(scored, ["a", "b"]).groupBy("response_id", "a").agg(F.max_by(F.struct("b", "score"), F.struct("score", "b")).alias("m"))
@@ -184,7 +186,7 @@ def align_lines(responses: DataFrame, evidence: DataFrame, p: Params = Params())
     units = evidence.where(F.trim("text") != "").select("response_id", F.struct("rank", unit.alias("u")).alias("r")).groupBy("response_id").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list("r")), lambda x: x["u"])).alias("units"))
     lines = F.filter(F.transform(F.split("answer", r"\r?\n"), lambda l: F.trim(l)), lambda l: l != "")
-    j = responses.select("response_id", lines.alias("lines")).join(units, "response_id")
+    j = spread(responses.select("response_id", lines.alias("lines")).join(units, "response_id"), "response_id")
     clean = F.transform("lines", lambda l: F.trim(strip_citations(l)))
     matched = j.withColumn("_m", best_units(clean, F.transform("units", lambda u: u["text"])))
     rows = matched.select("response_id", "units", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), F.col("_m").alias("m"))).alias("line_no", "x"))
@@ -211,7 +213,7 @@ def citation_accuracy(pairs: DataFrame, evidence: DataFrame, mode: str = "fuzzy"
     trimmed = lambda c: F.length(replace(c, r"^\s+|\s+$"))
     sent = F.transform(split_sentences(a, "lookback"), lambda s: norm_compare(s))
     ev = evidence.groupBy("response_id").agg(F.collect_list(norm_compare(F.col("text"))).alias("_ev"))
-    j = pairs.join(ev, "response_id").withColumn("_s", sent)
+    j = spread(pairs.join(ev, "response_id"), "response_id").withColumn("_s", sent)
     if mode == "contains":
         covered = F.size(F.filter("_s", lambda s: F.exists("_ev", lambda t: t.contains(s))))
         coverage = F.when(F.size("_s") == 0, 0.0).otherwise(covered / F.size("_s"))

@@ -11,6 +11,7 @@ from attestry.functions.similarity import keyword_relevance
 from attestry.functions.tokens import char_ngrams, extract_keywords
 from attestry.operators.lexical import top_k
 from attestry.params import Params
+from attestry.scale import spread
 
 
 def rrf(lists: Sequence[DataFrame], weights: Sequence[float] = (Params.w_bm25, Params.w_vector), k: int = Params.rrf_k) -> DataFrame:
@@ -34,7 +35,8 @@ def with_keyword_relevance(hits: DataFrame, queries: DataFrame, chunks: DataFram
     """R13 for a hit table. Only chunks that some query hit are touched; their bigrams are computed once per
     chunk and shared by all queries that hit it."""
     kws = queries.select("query_id", extract_keywords(F.col("text"), script).alias("_kw"))
-    texts = chunks.join(hits.select("chunk_id"), "chunk_id", "left_semi").select(
+    # The bigrams are CPU work on the candidates only; hashing them by chunk spreads it and serves the join.
+    texts = spread(chunks.join(hits.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "text"), "chunk_id").select(
         "chunk_id", F.col("text").alias("_text"), char_ngrams(F.lower(F.col("text"))).alias("_grams")
     )
     rel = F.round(keyword_relevance(F.col("_kw"), F.col("_text"), F.col("_grams")), 6)

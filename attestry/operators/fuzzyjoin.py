@@ -14,6 +14,7 @@ from attestry.functions.fuzzy import fuzzy_score
 from attestry.functions.normalize import let, norm_unicode
 from attestry.functions.patterns import find_all
 from attestry.functions.tokens import WORD_CLASS
+from attestry.scale import spread
 
 EPS = 1e-9
 
@@ -88,7 +89,7 @@ def fuzzy_join(
     left row by default."""
     if normalise:
         left, right = (d.withColumn("text", norm_unicode("NFKC")(F.col("text"))) for d in (left, right))
-    scored = fuzzy_candidates(left, right, method, min_score).withColumn("score", fuzzy_score(method)(F.col("l_text"), F.col("r_text")))
+    scored = spread(fuzzy_candidates(left, right, method, min_score), "l_text", "r_text").withColumn("score", fuzzy_score(method)(F.col("l_text"), F.col("r_text")))
     scored = scored.where(F.col("score") >= min_score - EPS)
     rows = (
         left.select(F.col("id").alias("left_id"), F.col("text").alias("l_text")).join(scored, "l_text")

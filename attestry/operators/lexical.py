@@ -103,13 +103,16 @@ def bm25_topk(
     R8: ``scope`` (query_id, doc_id) restricts candidates before ranking (``mode="first"``, exact) or after an
     over-fetch of 3k (``mode="overfetch"``).
     """
-    n, avgdl = index.corpus.select("n").scalar(), index.corpus.select("avgdl").scalar()
-    idf = F.log(n / (F.col("df") + 1)) + 1
+    stats = index.corpus.select(F.struct("n", "avgdl")).scalar()
     q = query_terms(queries, text, query_id, script)
-    weighted = q.join(index.terms, "term", "left").select(
-        "query_id", "term", F.when(F.col("term").startswith(ID_TERM), 1.0).otherwise(idf).alias("_idf")
-    ).where(F.col("_idf").isNotNull())
-    norm = k1 * ((1 - b) + b * F.col("dl") / avgdl)
+    # Document frequencies of the query terms only: the semi join moves below the grouping, to the scan.
+    dfs = index.terms.join(q.select("term"), "term", "left_semi")
+    is_id = F.col("term").startswith(ID_TERM)
+    weighted = (
+        q.join(dfs, "term", "left").where(is_id | F.col("df").isNotNull()).withColumn("_st", stats)
+        .select("query_id", "term", F.col("_st.avgdl").alias("_avgdl"),
+                F.when(is_id, 1.0).otherwise(F.log(F.col("_st.n") / (F.col("df") + 1)) + 1).alias("_idf")))
+    norm = k1 * ((1 - b) + b * F.col("dl") / F.col("_avgdl"))
     part = F.when(F.col("term").startswith(ID_TERM), F.col("_idf")).otherwise(
         F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     )

@@ -179,8 +179,9 @@ def sim_sql(a: str, b: str, wa: str, wb: str) -> str:
 
 
 EVN = f", en AS MATERIALIZED (SELECT response_id, rank, doc_id, {Q.norm_compare('text')} AS b, {Q.split_words(Q.norm_compare('text'))} AS wb FROM ev)"
+_UNCITED = r"trim(regexp_replace(line, '\[[0-9]+\]', '', 'g'))"
 MLINES = rf""", ml AS (SELECT response_id, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) - 1 AS line_no FROM rs),
- mn AS MATERIALIZED (SELECT response_id, line_no, line, {Q.norm_compare("trim(regexp_replace(line, '\[[0-9]+\]', '', 'g'))")} AS a FROM ml)"""
+ mn AS MATERIALIZED (SELECT response_id, line_no, line, {Q.norm_compare(_UNCITED)} AS a FROM ml)"""
 
 
 @register("v11_content_similarity", R + EVN + f""", p AS (SELECT ap.response_id, en.rank, {Q.norm_compare('raw')} AS a, {Q.split_words(Q.norm_compare('raw'))} AS wa, b, wb FROM ap JOIN en USING (response_id))

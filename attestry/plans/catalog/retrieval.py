@@ -13,7 +13,7 @@ from attestry.params import Params
 from attestry.plans import hybrid
 from attestry.plans.catalog import register
 from attestry.plans.catalog import sql as Q
-from attestry.scale import cut_lineage, shared
+from attestry.scale import shared
 from attestry.session import load_table
 
 
@@ -43,11 +43,15 @@ def hits_of(spark: SparkSession, sf: str, k: int = 60) -> DataFrame:
     return lexical.bm25_topk(queries_of(spark, sf), lexical_of(spark, sf), k)
 
 
-def fused_of(spark: SparkSession, sf: str) -> DataFrame:
+def fuse(spark: SparkSession, sf: str) -> DataFrame:
     lex, vec = hybrid.candidate_lists(queries_of(spark, sf), corpus_of(spark, sf))
     return fusion.rrf([lex, vec])
 
 
+def fused_of(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, ("fused", sf), lambda: fuse(spark, sf))
+
+
 def related_of(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, ("related", sf), lambda: fusion.with_keyword_relevance(
         fused_of(spark, sf), queries_of(spark, sf), chunks_of(spark, sf)))
@@ -170,7 +174,7 @@ def r8b(spark, sf):
 
 @register("r9_rrf", ALL + " SELECT query_id, chunk_id, rrf_score FROM fused")
 def r9(spark, sf):
-    return fused_of(spark, sf).select("query_id", "chunk_id", "rrf_score")
+    return fuse(spark, sf).select("query_id", "chunk_id", "rrf_score")
 
 
 @register("r10_keywords", r"""

@@ -59,6 +59,7 @@ def hybrid_retrieve(
 ) -> DataFrame:
     """R22. queries(query_id, text) -> ranked hits with their scores and reasons."""
     lexical, vec = candidate_lists(queries, corpus, p, scope)
-    fused = rrf([lexical, vec], (p.w_bm25, p.w_vector), p.rrf_k)
+    # The fused list is small (at most four list depths per query) and is read twice below.
+    fused = cut_lineage(rrf([lexical, vec], (p.w_bm25, p.w_vector), p.rrf_k))
     related = with_keyword_relevance(fused, queries, corpus.chunks, p.script)
     return diversify(relevance_filter(related, p), limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives executor loss and is not recomputed by later operators."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the result as a table in the checkpoint folder and read it back.
+
+    It survives executor loss and is not recomputed.  A columnar table is used rather than ``checkpoint()``,
+    whose row-serialised blocks have to be read whole: later scans of the table prune columns and push filters.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition into the configured number of shuffle partitions before a CPU-bound stage.
+
+    The explicit number keeps AQE from merging small but expensive partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
 
 
 _SHARED: dict[tuple, DataFrame] = {}
