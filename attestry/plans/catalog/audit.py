@@ -344,3 +344,14 @@ def r14(spark, sf):
     kw = queries_of(spark, sf).select("query_id", F.explode(extract_keywords(F.col("text"))).alias("keyword"))
     pairs = fused_of(spark, sf).select("query_id", "chunk_id").join(kw, "query_id")
     return Z.partial_matches(pairs, chunks_of(spark, sf)).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("partial_keywords"))
+
+
+@register("k9_memory_facts", R + r""", l AS (SELECT response_id, trim(unnest(string_split(answer, chr(10)))) AS text FROM rs),
+ c AS (SELECT DISTINCT response_id, text, unnest(regexp_extract_all(text, '\[(\d+)\]', 1))::bigint AS n FROM l WHERE text <> '')
+ SELECT DISTINCT c.response_id, ev.doc_id, md5(c.text) AS checksum FROM c JOIN ev ON ev.response_id = c.response_id AND ev.rank = c.n""")
+def k9(spark, sf):
+    from attestry.operators.dialog import memory_facts
+
+    r = responses(spark, sf).withColumn("session_id", F.floor(F.col("response_id") / 100)).withColumn("seq", F.col("response_id") % 100)
+    src = evidence(spark, sf).select("response_id", F.col("rank").alias("display_index"), "doc_id")
+    return memory_facts(r, src).select("response_id", "doc_id", F.md5("text").alias("checksum"))
