@@ -241,7 +241,7 @@ def split_title_body(c: Column, bullet: str = P.BULLET) -> Column:
     """L11. First line without its bullet is the title; the rest, one sentence per line, is the body."""
     lines = F.split(c, r"\r?\n")
     title = F.trim(replace(F.get(lines, F.lit(0)), rf"^\s*{bullet}+"))
-    rest = F.filter(F.transform(F.slice(lines, 2, 2147483647), lambda x: F.trim(x)), lambda x: x != "")
+    rest = F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x)), lambda x: x != "")
     body = F.array_join(rest, " ")
     body = replace(body, r"\s*([.?!])\s*", "$1\n")
     body = replace(replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+$")

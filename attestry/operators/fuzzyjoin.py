@@ -1,7 +1,7 @@
 """Blocked fuzzy similarity join (FZ) and partial keyword matches.
 
-Candidates come from an exact filter, so no pair at or above the threshold is lost: two strings whose longest
-common subsequence has at least ``o`` characters share one of the ``m - o + 1`` rarest characters of either
+Candidates come from an exact prefix filter, so no pair at or above the threshold is lost: two strings whose
+longest common subsequence has at least ``o`` characters share k of the ``m - o + k`` rarest characters of either
 (characters are numbered by occurrence, and sorted so that rare ones come first).
 """
 
@@ -27,9 +27,22 @@ def _numbered_chars(c: Column) -> Column:
     return F.sort_array(marks, asc=False)
 
 
-def _prefix(marks: Column, s: float) -> Column:
-    need = F.ceil(F.size(marks) * (s / (2 - s)) - EPS).cast("int")
-    return F.slice(marks, F.lit(1), F.greatest(F.size(marks) - need + 1, F.lit(0)))
+def _need(marks: Column, s: float) -> Column:
+    return F.ceil(F.size(marks) * (s / (2 - s)) - EPS).cast("int")
+
+
+def _prefix(marks: Column, s: float, extra: int = 1) -> Column:
+    return F.slice(marks, F.lit(1), F.greatest(F.size(marks) - _need(marks, s) + extra, F.lit(0)))
+
+
+def _pair_keys(marks: Column, s: float) -> Column:
+    """Two strings that share ``o`` >= 2 characters share two of their ``m - o + 2`` rarest ones, so pairs of
+    characters are the keys: far more selective than single characters.  Strings short enough to match on one
+    shared character carry single keys as well."""
+    pairs = let(_prefix(marks, s, 2), lambda p: F.flatten(F.transform(
+        p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.concat(x, F.lit("~"), y)))))
+    single = F.when(_need(marks, s) < 2, _tag("S", _prefix(marks, s))).otherwise(F.array().cast("array<string>"))
+    return F.concat(pairs, single)
 
 
 def _tag(tag: str, keys: Column) -> Column:
@@ -43,8 +56,8 @@ def _keys(side: str, method: str, s: float) -> Column:
         short_b, full_b = _tag("B", _prefix(marks, s)), _tag("B", marks)
         return F.concat(short, full_b) if side == "left" else F.concat(full, short_b)
     if method == "token_set":
-        return F.concat(_tag("W", F.array_distinct(find_all(F.col("_s"), r"\S+"))), _tag("C", _prefix(marks, s)))
-    return _prefix(marks, s)
+        return F.concat(_tag("W", F.array_distinct(find_all(F.col("_s"), r"\S+"))), _tag("C", _pair_keys(marks, s)))
+    return _pair_keys(marks, s)
 
 
 def _prepared(df: DataFrame, text: str, side: str, method: str, s: float) -> DataFrame:

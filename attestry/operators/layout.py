@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry import params as P
-from attestry.functions.normalize import collapse, replace
+from attestry.functions.normalize import collapse, let, replace
 from attestry.functions.patterns import find_all, join_department_spacing
 from attestry.operators.chunking import ordered_fold
 from attestry.scale import broadcast_if_small
@@ -172,11 +172,11 @@ def to_grid(words: DataFrame, edges: DataFrame, tol: float = 10.0) -> DataFrame:
 
 def adjacent_grams(tokens: Column, upto: int = 3) -> Column:
     """All runs of 1..``upto`` neighbouring tokens, concatenated."""
-    def grams(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), ""))
+    def grams(t: Column, n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), ""))
 
-    return F.array_distinct(F.concat(*[grams(n) for n in range(1, upto + 1)]))
+    return let(tokens, lambda t: F.array_distinct(F.concat(*[grams(t, n) for n in range(1, upto + 1)])))
 
 
 def match_ngrams(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:

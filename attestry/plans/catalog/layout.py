@@ -10,10 +10,16 @@ from attestry.functions import tokens as T
 from attestry.operators import layout as L
 from attestry.plans.catalog import register
 from attestry.plans.catalog import sql as Q
+from attestry.scale import shared
 from attestry.session import load_table
 
 
 def words(spark, sf):
+    """The word-box table: an input of these jobs, so it is materialised once."""
+    return shared(spark, ("words", sf), lambda: lay_out(spark, sf))
+
+
+def lay_out(spark, sf):
     d = load_table(spark, sf, "documents").select("doc_id", F.posexplode(X.find_all(F.col("text"), r"\S+")).alias("i", "t"))
     j = F.col("i") % 600
     x0 = ((j % 12) * 50).cast("double")

@@ -196,3 +196,10 @@ def test_titles(spark):
 
 def test_parity_params():
     assert Params().rrf_k == 60 and Params(parity=True).parity
+
+
+def test_title_and_body(spark):
+    got = val(spark, X.split_title_body(s("○ 제목\n첫 문장. 둘째 문장\n셋째")))
+    assert (got["title"], got["body"]) == ("제목", "- 첫 문장.\n둘째 문장 셋째")
+    assert val(spark, X.split_title_body(s("○ 제목")))["body"] == ""
+    assert val(spark, X.page_category(s("a\n훈 시\nb"))) == "훈시"
