@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import minhash
+from attestry.llm import minhash, suffixdedup
 from attestry.session import load_table
 
 QUERIES: dict = {}
@@ -43,3 +43,29 @@ FROM s LEFT JOIN k ON list_sort(s.s) = k.s LEFT JOIN c ON c.node = k.node
 @register("op8_minhash_near_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, i, hash(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS g
+                   FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM t)),
+d AS (SELECT w.r, w.i FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) x ON w.g = x.g),
+j AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM d),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM j),
+s AS MATERIALIZED (SELECT r, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY r, run),
+p AS (SELECT s.r, s.a, substr(t.h, CAST(2 * coalesce(lag(s.b) OVER (PARTITION BY s.r ORDER BY s.a), 0) + 1 AS BIGINT),
+             CAST(2 * (s.a - coalesce(lag(s.b) OVER (PARTITION BY s.r ORDER BY s.a), 0)) AS BIGINT)) AS piece
+      FROM s JOIN t ON s.r = t.r),
+e AS (SELECT s.r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM s GROUP BY s.r),
+q AS (SELECT r, string_agg(piece, '' ORDER BY a) AS head FROM p GROUP BY r)
+SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(e.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(e.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN e.r IS NULL THEN t.h ELSE q.head || substr(t.h, CAST(2 * e.last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM t LEFT JOIN e ON e.r = t.r LEFT JOIN q ON q.r = t.r
+"""
+
+
+@register("op5_suffix_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.repeated_spans(load_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
