@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import minhash, suffixdedup
+from attestry.llm import minhash, resample, suffixdedup
 from attestry.session import load_table
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ FROM t LEFT JOIN e ON e.r = t.r LEFT JOIN q ON q.r = t.r
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixdedup.repeated_spans(load_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op7_importance_resampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_grams", "log_weight", "key", "selected")
