@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     parts = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("parts"))
     placed = cluster.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    sets = placed.join(docs.withColumnRenamed("doc_id", "node"), "node").select("node", "cluster", "parts", "part", "text")
+    # the same join at every size: the texts are dealt by id, whether the candidates are few or many
+    sets = placed.hint("merge").join(docs.withColumnRenamed("doc_id", "node"), "node").select("node", "cluster", "parts", "part", "text")
     sets = settle(sets.mapInArrow(_sets(words), "node long, cluster long, parts long, part long, shingles binary"))
 
     def links(rows_: DataFrame) -> DataFrame:
