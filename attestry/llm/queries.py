@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import minhash, resample, suffixdedup
+from attestry.llm import decontaminate, minhash, resample, sentencepieces, suffixdedup
 from attestry.session import load_table
 
+#: The model file of the SentencePiece queries.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,3 +78,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample.resample(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.select("row.doc_id", "n_grams", "log_weight", "key", "selected")
+
+
+@register("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.encode_documents(load_table(spark, sf_dir, "documents"), sentencepieces.model_bytes(MODEL_PATH), carry=["doc_id"])
+    return out.select("row.doc_id", "ids", "n_ids", "round_trip", "parity")
+
+
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))"
+_CANON = rf"""list_transform(w, lambda x, i: CASE
+  WHEN regexp_matches(x, '\p{{N}}') THEN '#'
+  WHEN lower(regexp_replace(x, '\P{{L}}+', '', 'g')) IN ({_UNITS}) AND i > 1 AND regexp_matches(w[i - 1], '\p{{N}}') THEN '@'
+  WHEN regexp_matches(regexp_replace(x, '\P{{L}}+', '', 'g'), '^\p{{Lu}}') AND NOT (i = 1 OR regexp_matches(w[i - 1], '[.!?:;|][''")\]]*$')) THEN '$'
+  ELSE lower(regexp_replace(x, '\P{{L}}+', '', 'g')) END)"""
+OP2_SQL = rf"""
+WITH bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, w, {_CANON} AS t FROM bw WHERE len(w) >= 5),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+d AS MATERIALIZED (SELECT r, doc_id, w, {_CANON} AS t FROM dw),
+bi AS (SELECT item_id, w, t, least(8, len(t)) AS n, unnest(range(1, len(t) - least(8, len(t)) + 2)) AS q FROM b),
+bq AS (SELECT *, t[q : q + n - 1] AS win FROM bi
+       WHERE 2 * len(list_filter(t[q : q + n - 1], lambda c: c NOT IN ('#', '$', '@'))) >= n),
+bn AS (SELECT item_id, count(DISTINCT q) AS n_windows FROM bq GROUP BY item_id),
+di AS (SELECT r, unnest(range(1, len(t) - n + 2)) AS p, n, t FROM d, (SELECT DISTINCT n FROM bq) WHERE len(t) >= n),
+m AS (SELECT DISTINCT di.r, bq.item_id, bq.w AS bw, bq.t AS bt, di.p - bq.q AS shift, bq.q, bq.n
+      FROM (SELECT r, p, n, t[p : p + n - 1] AS win FROM di) di JOIN bq ON di.win = bq.win AND di.n = bq.n),
+a AS (SELECT DISTINCT r, item_id, shift, bw, bt, unnest(range(q, q + n)) AS j FROM m),
+s AS (SELECT DISTINCT a.r, item_id, shift, bt[j] AS kind,
+        lower(regexp_replace(bw[j], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS asked,
+        lower(regexp_replace(d.w[j + shift], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS given
+      FROM a JOIN d ON d.r = a.r WHERE bt[j] IN ('#', '$', '@')),
+c AS (SELECT r, item_id, shift FROM s GROUP BY r, item_id, shift, kind, asked HAVING count(*) > 1
+      UNION SELECT r, item_id, shift FROM s GROUP BY r, item_id, shift, kind, given HAVING count(*) > 1),
+k AS (SELECT m.r, m.item_id, count(DISTINCT m.q) / any_value(bn.n_windows) AS share
+      FROM m JOIN bn ON bn.item_id = m.item_id ANTI JOIN c ON c.r = m.r AND c.item_id = m.item_id AND c.shift = m.shift GROUP BY m.r, m.item_id),
+f AS (SELECT r, max(share) AS best, coalesce(list(item_id ORDER BY item_id) FILTER (share >= 0.5), []) AS ids FROM k GROUP BY r)
+SELECT d.doc_id, coalesce(len(f.ids), 0) > 0 AS contaminated, CAST(coalesce(len(f.ids), 0) AS BIGINT) AS n_items,
+       coalesce(f.ids, []) AS item_ids, coalesce(f.best, 0.0) AS best_coverage
+FROM d LEFT JOIN f ON f.r = d.r
+"""
+
+
+@register("op2_template_decontamination", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark")).drop("k1", "k2")
