@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import mix64, pieces, prefix_hash, span_hash
 from attestry.llm.gsaca import suffix_array
-from attestry.llm.store import partitions, settle
+from attestry.llm.store import discard, partitions, settle
 
 LENGTH = 200
 ANCHOR = 100
 #: Distinct contexts of one anchor that one task sorts together; a larger group is counted window by window.
-GROUP = 6000
+GROUP = 30_000
+#: Offsets of windows that are sorted together.
+SLOT = 8
 #: Symbols after which the collected contexts are sorted.
 SYMBOLS = 150_000
 
@@ -180,100 +182,102 @@ def _common(rows: list[bytes], width: int) -> np.ndarray:
 
 
 class _Sorter:
-    """Collects the contexts of whole anchor groups and sorts them together."""
+    """Sorts the contexts of whole anchor groups.
+
+    The windows of a context are taken in slots of ``SLOT`` neighbouring offsets.  All windows of a slot share a core:
+    the anchor and the bytes next to it.  The core becomes one symbol, followed and preceded by the few bytes that the
+    slot's windows add; bytes further out than any other context agrees with are left out.  Equal strings repeat,
+    and the different ones are suffix-sorted.
+    """
 
     def __init__(self, length: int, anchor: int) -> None:
         self.span = length - anchor
-        self.names: list[tuple[int, int]] = []
-        self.first: list[int] = []
-        self.text: list[int] = []
-        self.begin: list[int] = []
-        self.need: list[tuple[int, int, int]] = []  # lowest a, highest a, symbols of a window less one
-        self.next_symbol = 257
         self.rows: list[tuple] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.text: list[int] = []
+        self.symbol = 257
+        self.asked: list[tuple] = []  # (h, ctx, begin, first start before the core, lowest a, highest a, symbols of a window)
 
     def add(self, h: int, entries: list[tuple[int, int, int, int, bytes, bytes]]) -> None:
         """entries: (ctx, copies, first, last, left, right); the contexts of one anchor, all different."""
-        single = []
-        for e in entries:
-            if e[1] > 1:
-                self.rows.append((h, e[0], e[2], e[3], None))
-            else:
-                single.append(e)
-        if not single or len(entries) < 2:
+        self.rows += [(h, e[0], e[2], e[3], None) for e in entries if e[1] > 1]
+        if len(entries) < 2 or all(e[1] > 1 for e in entries):
             return
         span = self.span
-        most_left = _common([e[4][::-1] for e in entries], span)
-        most_right = _common([e[5] for e in entries], span)
-        low = np.maximum(np.array([e[2] for e in entries]), span - most_right)
-        high = np.minimum(np.array([e[3] for e in entries]), most_left)
-        some = np.flatnonzero(low <= high)
-        if len(some) < 2:
-            return
-        lo, hi = int(low[some].min()), int(high[some].max())
-        cores: dict[tuple[bytes, bytes], int] = {}
-        for i in some.tolist():
-            _, copies, first, last, left, right = entries[i]
-            if last < lo or span - first < span - hi or len(left) < lo or len(right) < span - hi:
+        low = np.maximum([e[2] for e in entries], span - _common([e[5] for e in entries], span)).tolist()
+        high = np.minimum([e[3] for e in entries], _common([e[4][::-1] for e in entries], span)).tolist()
+        units: dict[tuple, dict[tuple[bytes, bytes], list[int]]] = {}
+        for i, e in enumerate(entries):
+            left, right, reach = e[4], e[5], len(e[4])
+            for slot in range(low[i] // SLOT, high[i] // SLOT + 1) if low[i] <= high[i] else ():
+                lo, hi = slot * SLOT, min(slot * SLOT + SLOT - 1, span)
+                core = (slot, left[reach - lo :], right[: span - hi])
+                ends = (left[reach - min(high[i], hi) : reach - lo], right[span - hi : span - max(low[i], lo)])
+                units.setdefault(core, {}).setdefault(ends, []).append(i)
+        for (slot, _, _), strings in units.items():
+            lo, hi = slot * SLOT, min(slot * SLOT + SLOT - 1, span)
+            for ends, who in strings.items():
+                if len(who) > 1:
+                    self.rows += [(h, entries[i][0], max(low[i], lo), min(high[i], hi), None) for i in who if entries[i][1] == 1]
+            if len(strings) < 2:
                 continue
-            # the bytes that every window has: the anchor, lo bytes before it and span - hi after it
-            core = (left[len(left) - lo :], right[: span - hi])
-            symbol = cores.setdefault(core, self.next_symbol + len(cores))
-            outer = left[max(0, len(left) - hi) : len(left) - lo]
-            self.names.append((h, entries[i][0]))
-            self.begin.append(len(self.text))
-            self.need.append((max(int(low[i]), lo), min(int(high[i]), hi), lo + len(outer)) if copies == 1 else (1, 0, 0))
-            self.first.append(hi - lo)
-            self.text.extend([x + 1 for x in outer])
-            self.text.append(symbol)
-            self.text.extend([x + 1 for x in right[span - hi : span - lo]])
-            self.text.append(0)
-        self.next_symbol += len(cores)
-
-    def take(self) -> list[tuple]:
-        """(h, ctx, lowest a, highest a, None) of the repeated windows of all contexts added so far."""
-        if self.text:
+            for (outer, tail), who in strings.items():
+                i = who[0]
+                if len(who) == 1 and entries[i][1] == 1:
+                    self.asked.append((h, entries[i][0], len(self.text), lo + len(outer), max(low[i], lo), min(high[i], hi), hi - lo + 1))
+                self.text += [x + 1 for x in outer]
+                self.text.append(self.symbol)
+                self.text += [x + 1 for x in tail]
+                self.text.append(0)
+            self.symbol += 1
+            if len(self.text) >= SYMBOLS:
+                self._sort()
+
+    def _sort(self) -> None:
+        """Look up the windows asked for among their neighbours in the order of all suffixes."""
+        if self.asked:
             order = np.array(suffix_array(self.text), dtype=np.int64)
             text = np.array(self.text, dtype=np.int32)
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            spots, owner, width, offset = [], [], [], []
-            for k, (low, high, reach) in enumerate(self.need):
-                for a in range(low, high + 1):
-                    if a <= reach:
-                        spots.append(self.begin[k] + reach - a)
-                        owner.append(k)
-                        width.append(self.first[k] + 1)
-                        offset.append(a)
-            spots, width = np.array(spots, dtype=np.int64), np.array(width, dtype=np.int64)
+            begin, reach, low, high, width = np.array([q[2:] for q in self.asked], dtype=np.int64).T
+            count = high - low + 1
+            owner = np.repeat(np.arange(len(count)), count)
+            a = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - low, count)
+            spots, width = begin[owner] + reach[owner] - a, width[owner]
             again = np.zeros(len(spots), dtype=bool)
             for step in (-1, 1):
-                near = rank[spots] + step if len(spots) else np.zeros(0, dtype=np.int64)
-                ok = (near >= 0) & (near < len(order)) & ~again
+                near = rank[spots] + step
                 other = order[np.clip(near, 0, len(order) - 1)]
-                ok &= other + width <= len(text)
-                idx = np.flatnonzero(ok)
-                for a in range(0, len(idx), 20_000):
-                    part = idx[a : a + 20_000]
-                    wide = int(width[part].max())
-                    j = np.arange(wide)
-                    x = text[np.minimum(spots[part][:, None] + j, len(text) - 1)]
-                    y = text[np.minimum(other[part][:, None] + j, len(text) - 1)]
-                    again[part] = ((x == y) | (j >= width[part][:, None])).all(axis=1)
-            run: list[int] = []
-            for i in np.flatnonzero(again).tolist():
-                k, a = owner[i], offset[i]
-                if run and run[0] == k and run[2] == a - 1:
-                    run[2] = a
-                else:
-                    if run:
-                        self.rows.append((*self.names[run[0]], run[1], run[2], None))
-                    run = [k, a, a]
-            if run:
-                self.rows.append((*self.names[run[0]], run[1], run[2], None))
-        rows, self.rows = self.rows, []
-        self.names, self.first, self.text, self.begin, self.need, self.next_symbol = [], [], [], [], [], 257
-        return rows
+                idx = np.flatnonzero((near >= 0) & (near < len(order)) & ~again & (other + width <= len(text)))
+                for x in range(0, len(idx), 50_000):
+                    part = idx[x : x + 50_000]
+                    j = np.arange(int(width[part].max()))
+                    mine = text[np.minimum(spots[part][:, None] + j, len(text) - 1)]
+                    theirs = text[np.minimum(other[part][:, None] + j, len(text) - 1)]
+                    again[part] = ((mine == theirs) | (j >= width[part][:, None])).all(axis=1)
+            hit = np.flatnonzero(again)
+            if len(hit):
+                fresh = np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (a[hit][1:] != a[hit][:-1] + 1)])
+                first = np.flatnonzero(fresh)
+                last = np.append(first[1:], len(hit)) - 1
+                for k, x, y in zip(owner[hit][first].tolist(), a[hit][first].tolist(), a[hit][last].tolist(), strict=True):
+                    self.rows.append((*self.asked[k][:2], x, y, None))
+        self._clear()
+
+    def take(self) -> list[tuple]:
+        """(h, ctx, lowest a, highest a, None) of the repeated windows of all contexts added so far."""
+        self._sort()
+        out: list[list] = []
+        for row in sorted(self.rows, key=lambda r: r[:3]):
+            if out and out[-1][:2] == list(row[:2]) and row[2] <= out[-1][3] + 1:
+                out[-1][3] = max(out[-1][3], row[3])
+            else:
+                out.append(list(row))
+        self.rows = []
+        return [tuple(r) for r in out]
 
 
 def _sort_groups(length: int, anchor: int, most: int):
@@ -304,7 +308,7 @@ def _sort_groups(length: int, anchor: int, most: int):
                     if held and len(held) <= most:
                         sorter.add(key, held)
                     key, held = h, []
-                    if len(sorter.text) >= SYMBOLS or len(sorter.rows) > 20_000:
+                    if len(sorter.text) >= SYMBOLS // 2 or len(sorter.rows) > 20_000:
                         rows += sorter.take()
                 if len(held) <= most:
                     held.append(tuple(entry))
@@ -378,6 +382,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     marks = settle(long_texts.mapInArrow(_anchors(length, anchor), "h long, key long, pos long"))
     twice = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     spots = settle(marks.join(twice, "h").groupBy("key").agg(F.collect_list(F.col("pos").cast("int")).alias("spots")))
+    discard(marks)
     texts = settle(long_texts.join(spots, "key").select("key", "text", "spots"))
     schema = "h long, ctx long, key long, digest long, pos int, first int, last int, left binary, right binary"
     contexts = settle(texts.mapInArrow(_contexts(length, anchor), schema))
@@ -393,6 +398,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ranges = ranges.groupBy("key").agg(F.collect_list("range").alias("ranges"))
     cut = texts.join(ranges, "key").select("key", "text", "ranges")
     cut = settle(cut.mapInArrow(_cut, "key long, digest long, n_removed long, spans array<struct<start: long, stop: long>>, kept_sha256 string").dropDuplicates(["key", "digest"]))
+    discard(contexts, found, texts)
 
     about = settle(docs.select("doc_id", "key", "text").mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, digest long, n_bytes long, sha string"))
     copied = about.where(F.col("n_bytes") >= length).groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "digest", F.lit(True).alias("copied"))
