@@ -411,3 +411,51 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.size(spans).cast("long").alias("n_spans"), spans.alias("spans"),
         F.when(F.col("copied"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
+
+
+def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans less the bytes of characters that they only touch: UTF-8 stays valid when they are cut out."""
+    out = []
+    for a, b in spans:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, cuts of struct(digest, spans)) -> (row, text without the spans of its digest)."""
+    for batch in batches:
+        texts = []
+        for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if cuts and text:
+                raw = text.encode("utf-8")
+                digest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+                spans = next((c["spans"] for c in cuts if c["digest"] == digest), [])
+                kept, at = [], 0
+                for a, b in whole_characters(raw, [(s["start"], s["stop"]) for s in spans]):
+                    kept.append(raw[at:a])
+                    at = b
+                text = b"".join([*kept, raw[at:]]).decode("utf-8")
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "trimmed"])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with its own columns, the repeated bytes of ``text`` cut out and ``n_chars``, where there is one, set anew.
+
+    Rows are never dropped: a text that repeats from end to end becomes empty, a null text stays null.  A character
+    that a repeated string covers only in part stays.
+    """
+    found = repeated_spans(docs, length, anchor).where("n_removed > 0").select("key", "digest", "spans").dropDuplicates(["key", "digest"])
+    cuts = settle(found.groupBy("key").agg(F.collect_list(F.struct("digest", "spans")).alias("cuts")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(row, F.col("text").cast("string").alias("text"))
+    packed = packed.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = packed.hint("merge").join(cuts, "key", "left").select("row", "text", "cuts")
+    out = joined.mapInArrow(_trim, f"row {packed.schema['row'].dataType.simpleString()}, trimmed string")
+    new = {"text": F.col("trimmed"), "n_chars": F.coalesce(F.char_length("trimmed"), F.lit(0)).cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

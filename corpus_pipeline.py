@@ -1,15 +1,71 @@
-"""Training-data pipeline: quality, near-duplicates, repeated passages, benchmark leaks, tokens."""
+"""Training-data pipeline: quality, near-duplicates, repeated passages, benchmark leaks, tokens.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``; the last adds the ids.  A stage
+that drops rows drops them for its own reason only: rows with a null or empty text pass all stages but the first
+decides on them as on any other text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestry.llm import decontaminate, minhash, resample, sentencepieces, suffixdedup
+from attestry.llm.queries import MODEL_PATH
+from attestry.llm.store import settle
+from attestry.session import load_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that importance resampling draws; all their columns stay as they are."""
+    kept = resample.resample(docs, load_table(spark, sf_dir, "labels")).where("selected")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group; rows without a doc_id stay."""
+    gone = settle(minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct())
+    return docs.hint("merge").join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out every passage of 200 bytes or more that stands in several places; no row is dropped."""
+    return suffixdedup.without_repeats(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item, with its own or with other values in its slots."""
+    judged = decontaminate.contamination(docs.select("doc_id", "text"), load_table(spark, sf_dir, "benchmark"))
+    gone = settle(judged.where("contaminated").select("k1", "k2").distinct())
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text)})
+    kept = keyed.hint("merge").join(gone, (F.col("_k1") == gone["k1"]) & (F.col("_k2") == gone["k2"]), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ids, n_ids, round_trip and parity behind their own columns."""
+    out = sentencepieces.encode_documents(docs, sentencepieces.model_bytes(MODEL_PATH))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "ids", "n_ids", "round_trip", "parity")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("SentencePiece encoding and decoding", tokens),
+]
 
-STAGES: list = []
+#: The first stage draws random numbers and the last uses a vocabulary file: SQL cannot state the result.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each stage's result is written as Parquet and read again."""
+    docs = load_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
     return docs
