@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import decontaminate, minhash, resample, sentencepieces, suffixdedup
+from attestry.llm import decontaminate, langid, minhash, resample, sentencepieces, suffixdedup, toxicity
 from attestry.session import load_table
 
 #: The model file of the SentencePiece queries.
@@ -124,3 +124,13 @@ FROM d LEFT JOIN f ON f.r = d.r
 @register("op2_template_decontamination", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@register("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(load_table(spark, sf_dir, "documents"))

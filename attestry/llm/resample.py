@@ -164,7 +164,8 @@ def resample(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if carry is None or c in (*carry, "doc_id", "text")])
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("quality") == 1).alias("good"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    labelled = texts.join(good.where("good").select("id"), "id", "left_semi").select("text", F.lit(1).alias("good"))
+    # labels grow with the documents: the same join at every size
+    labelled = texts.hint("merge").join(good.where("good").select("id"), "id", "left_semi").select("text", F.lit(1).alias("good"))
     raw = texts.select("text", F.lit(0).alias("good"))
     schema = "bucket long, raw long, target long"
     counts = raw.mapInArrow(_counts(buckets), schema).select("bucket", "raw", F.lit(0).alias("target"))
