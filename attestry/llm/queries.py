@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import decontaminate, langid, minhash, resample, sentencepieces, suffixdedup, toxicity
+from attestry.llm import decontaminate, htmltext, langid, maxscore, minhash, resample, sentencepieces, suffixdedup, toxicity, urltrust
 from attestry.session import load_table
 
 #: The model file of the SentencePiece queries.
@@ -134,3 +134,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(load_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@register("op3_maxscore_topk", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load_table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@register("op10_link_trust")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrust.judge(load_table(spark, sf_dir, "pages"))
+
+
+@register("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(load_table(spark, sf_dir, "pages"))
