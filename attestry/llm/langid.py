@@ -166,7 +166,7 @@ def _predict(net: Network):
                 windows, owner = cut_windows(data, offsets)
                 p = probabilities(net, windows)
                 size = len(offsets) - 1
-                mean = np.stack([np.bincount(owner, weights=p[:, k], minlength=size) for k in range(p.shape[1])], axis=1)
+                mean = np.stack([np.bincount(owner, weights=p[:, k], minlength=size) for k in range(p.shape[1])], axis=1).astype(np.float64)
                 mean /= np.maximum(1, np.bincount(owner, minlength=size))[:, None]
                 best[row : row + size] = mean.argmax(axis=1)
                 score[row : row + size] = mean.max(axis=1)
