@@ -111,7 +111,7 @@ def rebuild(model: dict):
 
 
 #: Words whose ids a task remembers; the table is emptied when it is full, which costs time and changes nothing.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: New words encoded as one text: cheaper than a text each.
 JOINED = 200
 
@@ -136,8 +136,9 @@ class Codec:
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         if self.by_word:
-            self.plain = rebuild(model)
-            self.plain.normalizer = None
+            from tokenizers import normalizers
+
+            self.tokenizer.normalizer = normalizers.Sequence([])  # words are cut from normalised texts
             self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
             self.begins = np.array([p.startswith(MARK) for p, _, _ in model["pieces"]])
             self._forget()
@@ -154,7 +155,7 @@ class Codec:
         alone = [w for w in fresh if w.count(MARK) != 1 or w == MARK]
         groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)] + [[w] for w in alone]
         texts = ["".join(g) for g in groups]
-        ids = [np.array(e.ids, dtype=np.int32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         same, back = [True] * len(groups), [True] * len(groups)
         if self.reference:
             spoken = [t[1:].replace(MARK, " ") for t in texts]
