@@ -26,6 +26,16 @@ def replace(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def quoted(text: str) -> str:
+    """A pattern that matches the very text, whatever it holds."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def literal(text: str) -> str:
+    """A replacement that stands for the very text."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def collapse(c: Column) -> Column:
     return replace(c, r"\s+", " ")
 
@@ -74,7 +84,7 @@ def norm_numbers(c: Column, parity: bool = False) -> Column:
     iso_guard = "" if parity else r"(?!\d{3}-\d{2}-\d{2}\b)"
     zero_guard = "" if parity else r"(?!\d+-\d{2}-\d{2}\b)"
     c = replace(c, r"(?U)\b(?=\d{4,}\b)" + zero_guard + r"0+(?=\d)")
-    c = replace(c, r"(?U)(?=(?:\d{3})+\b)" + iso_guard + r"(?<=\b\d{1,60})", ",")
+    c = replace(c, r"(?U)(?:\b|\G(?!^))(\d{1,3})(?=(?:\d{3})+\b)" + iso_guard, "$1,")
     c = replace(c, r"(\d+)\s*％", "$1%")
     c = replace(c, r"(\d+)\s*퍼센트", "$1%")
     for frac, dec in (("1/2", "0.5"), ("1/3", "0.33"), ("1/4", "0.25"), ("3/4", "0.75")):
@@ -93,7 +103,7 @@ def _currency(c: Column, parity: bool) -> Column:
     head = r"(?<!\d)" if parity else r"(?<![\d,])"
     c = replace(c, r"(\d)\s*원", "$1원")
     c = replace(c, head + r"0+(?=\d+원)")
-    c = replace(c, rf"(?=(?:\d{{3}})+원)(?<={head}\d{{1,60}})", ",")
+    c = replace(c, rf"(?:{head}|\G(?!^))(\d{{1,3}})(?=(?:\d{{3}})+원)", "$1,")
     units = list(P.CURRENCY_UNITS.items())
     if not parity:
         units.sort(key=lambda kv: -len(kv[0]))
@@ -102,7 +112,7 @@ def _currency(c: Column, parity: bool) -> Column:
         c = replace(c, rf"(\d+)\s*{unit}\s*원", f"\x02$1{zeros}\x03원")
         c = replace(c, rf"\s*{unit}\s*원", f"\x02{value}\x03원")
         c = replace(c, r"\x020+(?=\d)", "\x02")
-        c = replace(c, r"(?=(?:\d{3})+\x03)(?<=\x02\d{1,60})", ",")
+        c = replace(c, r"((?:\x02|\G(?!^))\d{1,3})(?=(?:\d{3})+\x03)", "$1,")
         c = replace(c, r"[\x02\x03]")
     return c
 
@@ -127,7 +137,7 @@ def norm_punct(c: Column) -> Column:
 def expand_terms(c: Column, terms: Mapping[str, str] = P.ABBREVIATIONS) -> Column:
     """P8. Whole-word abbreviation expansion over a small fixed dictionary."""
     for abbr, full in terms.items():
-        c = replace(c, rf"(?U)\b\Q{abbr}\E\b", full)
+        c = replace(c, rf"(?U)\b{quoted(abbr)}\b", literal(full))
     return c
 
 

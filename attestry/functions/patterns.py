@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import params as P
-from attestry.functions.normalize import collapse, replace
+from attestry.functions.normalize import collapse, literal, quoted, replace
 
 
 def count_matches(c: Column, pattern: str) -> Column:
@@ -77,7 +77,7 @@ def truncate_text(c: Column, limit: int = 100, suffix: str = "...") -> Column:
 def highlight(c: Column, keywords: Sequence[str], start: str = "<mark>", end: str = "</mark>") -> Column:
     """P21. Wrap each keyword, ignoring case; the keyword as given replaces the match."""
     for kw in keywords:
-        c = replace(c, rf"(?iu)\Q{kw}\E", f"{start}{kw}{end}")
+        c = replace(c, rf"(?iu){quoted(kw)}", literal(f"{start}{kw}{end}"))
     return c
 
 

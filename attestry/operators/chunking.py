@@ -242,11 +242,11 @@ def page_totals(chunks: DataFrame) -> DataFrame:
         F.round(F.sum("l") / F.sum("c"), 6).alias("avg_chunk_chars"))
 
 
-def dedupe_chunks(chunks: DataFrame, prefix: int = 200, order: str = "start_char") -> DataFrame:
-    """C13. First chunk per document and trimmed prefix.  ``row_number = 1`` is pushed below the shuffle, so
-    copies of one hot prefix are dropped where they are read."""
+def dedupe_chunks(chunks: DataFrame, parity: bool = False, order: str = "start_char", prefix: int = 200) -> DataFrame:
+    """C13. First chunk per document and trimmed text; ``parity`` compares the first ``prefix`` characters only, cut
+    before they are trimmed.  ``row_number = 1`` is pushed below the shuffle, so copies are dropped where they are read."""
     w = Window.partitionBy("doc_id", "_p").orderBy(order)
     return (
-        chunks.withColumn("_p", F.substring(F.trim("text"), 1, prefix))
+        chunks.withColumn("_p", F.trim(F.substring("text", 1, prefix)) if parity else F.sha2(F.trim("text"), 256))
         .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_p", "_rn")
     )

@@ -118,15 +118,15 @@ def top_failures(details: DataFrame, n: int = 10) -> DataFrame:
 
 
 def prioritise(details: DataFrame) -> DataFrame:
-    """A9. Recommended actions from the failure counts."""
+    """A9. Codes of what to work on, most urgent first, from the failure counts."""
     n = lambda reason: F.count_if(F.array_contains("_r", reason))
     s = details.select(failure_reasons().alias("_r")).agg(
         n("error").alias("error"), n("hallucination").alias("hallucination"), n("low_f1").alias("low_f1"), n("bad_citation").alias("bad_citation"),
         (F.count_if(F.size("_r") > 0) / F.count(F.lit(1))).alias("rate"))
     actions = F.array_compact(F.array(
-        F.when(F.col("error") > 0, "1. Fix system errors immediately"),
-        F.when(F.col("hallucination") > 0, "2. Address hallucination issues with stricter prompts"),
-        F.when(F.col("low_f1") > 5, "3. Improve retrieval and reranking"), F.when(F.col("bad_citation") > 3, "4. Fix citation tracking"),
-        F.when(F.col("rate") > 0.1, "5. Consider switching to a better base model")))
-    none = F.array(F.lit("System performing well - minor optimizations only"))
+        F.when(F.col("error") > 0, "errors"),
+        F.when(F.col("hallucination") > 0, "grounding"),
+        F.when(F.col("low_f1") > 5, "retrieval"), F.when(F.col("bad_citation") > 3, "citations"),
+        F.when(F.col("rate") > 0.1, "model")))
+    none = F.array(F.lit("none"))
     return s.select(F.explode(F.when(F.size(actions) > 0, actions).otherwise(none)).alias("action"))

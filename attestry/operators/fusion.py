@@ -43,6 +43,12 @@ def with_keyword_relevance(hits: DataFrame, queries: DataFrame, chunks: DataFram
     return hits.join(kws, "query_id").join(texts, "chunk_id").withColumn("keyword_relevance", rel).drop("_kw", "_text", "_grams")
 
 
+def _weighted(a: Column, wa: float, b: Column, wb: float) -> Column:
+    """wa * a + wb * b in decimals: the inputs have at most nine digits, so nothing is rounded at a half."""
+    exact = lambda c, w: c.cast("decimal(18,9)") * F.lit(w).cast("decimal(2,1)")
+    return (exact(a, wa) + exact(b, wb)).cast("double")
+
+
 def relevance_filter(hits: DataFrame, p: Params = Params()) -> DataFrame:
     """R17. Keep hits with both signals, or a strong keyword signal; a query left with none keeps its first
     ``fallback_rows`` by fused score.  Adds ``include_reason`` and ``relevance`` (.7 fused + .3 keyword)."""
@@ -56,7 +62,7 @@ def relevance_filter(hits: DataFrame, p: Params = Params()) -> DataFrame:
     )
     kept = ranked.where(F.col("_reason").isNotNull() | (~F.col("_any") & (F.col("_rn") <= p.fallback_rows)))
     return kept.withColumn("include_reason", F.coalesce("_reason", F.lit("emergency_fallback"))).withColumn(
-        "relevance", F.round(rrf_s * 0.7 + kw * 0.3, 6)
+        "relevance", _weighted(rrf_s, 0.7, kw, 0.3)
     ).drop("_reason", "_any", "_rn")
 
 

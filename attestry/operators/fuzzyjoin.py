@@ -1,8 +1,8 @@
 """Blocked fuzzy similarity join (FZ) and partial keyword matches.
 
 Candidates come from an exact prefix filter, so no pair at or above the threshold is lost: two strings whose
-longest common subsequence has at least ``o`` characters share k of the ``m - o + k`` rarest characters of either
-(characters are numbered by occurrence, and sorted so that rare ones come first).
+longest common subsequence has at least ``o`` characters share k of the first ``m - o + k`` characters of either
+(characters are numbered by occurrence, and sorted so that high occurrence numbers come first).
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from attestry.functions.tokens import WORD_CLASS
 from attestry.scale import spread
 
 EPS = 1e-9
+#: Digits of an occurrence number: a string has fewer than 2**31 characters, so none is ever cut.
+OCCURRENCE_DIGITS = 10
 
 
 def _numbered_chars(c: Column) -> Column:
     """Each character with its occurrence number, high occurrences and high code points first."""
     chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
     marks = let(chars, lambda s: F.transform(
-        s, lambda ch, i: F.concat(F.lpad((i - F.array_position(s, ch) + 1).cast("string"), 4, "0"), ch)))
+        s, lambda ch, i: F.concat(F.lpad((i - F.array_position(s, ch) + 1).cast("string"), OCCURRENCE_DIGITS, "0"), ch)))
     return F.sort_array(marks, asc=False)
 
 

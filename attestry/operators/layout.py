@@ -15,10 +15,8 @@ from attestry import params as P
 from attestry.functions.normalize import collapse, let, replace
 from attestry.functions.patterns import find_all, join_department_spacing
 from attestry.operators.chunking import ordered_fold
-from attestry.scale import broadcast_if_small
 
 PAGE = ["doc_id", "page"]
-DICT_ROWS = 200_000
 
 
 def _page(*order: Column | str) -> Window:
@@ -182,13 +180,13 @@ def adjacent_grams(tokens: Column, upto: int = 3) -> Column:
 def match_ngrams(rows: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """L7. Names (one column ``name``) that equal 1-3 neighbouring tokens of a row, written without spaces.
 
-    The dictionary is broadcast only when counted to be small; otherwise the exploded grams shuffle by name.
+    No side is hinted: the planner picks the join from the sizes it sees at run time.
     """
     cleaned = F.trim(join_department_spacing(collapse(replace(F.col(text), r"[,\x{00B7}·/]+", " "))))
     tok = find_all(cleaned, r"\S+")
     noisy = F.col(text).rlike(P.NOISE_PATTERN)
     grams = rows.where(~noisy).withColumn("name", F.explode(adjacent_grams(tok)))
-    return grams.join(broadcast_if_small(names.select("name"), DICT_ROWS), "name", "left_semi")
+    return grams.join(names.select("name"), "name", "left_semi")
 
 
 def match_substrings(text: Column, names: Sequence[str] = P.DEPARTMENTS) -> Column:
@@ -221,15 +219,17 @@ def zip_longest(a: Column, b: Column) -> Column:
     return F.arrays_zip(a.alias("left"), b.alias("right"))
 
 
-def record_key(title: Column, body: Column, labels: Column) -> Column:
-    return F.substring(collapse(F.concat_ws("||", title, body, F.array_join(labels, ","))), 1, 500)
+def record_key(title: Column, body: Column, labels: Column, parity: bool = False) -> Column:
+    """Hash of the whole collapsed record; ``parity`` gives its first 500 characters."""
+    whole = collapse(F.concat_ws("||", title, body, F.array_join(labels, ",")))
+    return F.substring(whole, 1, 500) if parity else F.sha2(whole, 256)
 
 
-def dedupe_records(records: DataFrame, order: Sequence[str] = ("page", "index")) -> DataFrame:
-    """L14. First record per document and 500-character key."""
+def dedupe_records(records: DataFrame, order: Sequence[str] = ("page", "index"), parity: bool = False) -> DataFrame:
+    """L14. First record per document and record key."""
     w = Window.partitionBy("doc_id", "_k").orderBy(*order)
     return (
-        records.withColumn("_k", record_key(F.col("title"), F.col("body"), F.col("departments")))
+        records.withColumn("_k", record_key(F.col("title"), F.col("body"), F.col("departments"), parity))
         .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_k", "_rn"))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from attestry.functions.vectors import dot, unit
 from attestry.operators.lexical import top_k
 
-MAX_BROADCAST_QUERIES = 4096
 BLOCK = 8192
 
 
@@ -45,16 +44,14 @@ def vector_topk(
     k: int = 30,
     scope: DataFrame | None = None,
     exclude_self: bool = False,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
     block: int = BLOCK,
 ) -> DataFrame:
     """R6. Exact cosine top-k: (query_id, chunk_id, score, rank).
 
     ``queries`` (query_id, embedding), ``vectors`` (chunk_id, embedding); integer ids.
-    Up to ``max_broadcast`` queries (counted first) are shipped to the vector partitions, which never move.
-    Beyond that both sides are cut into blocks of at most ``block`` rows and every pair of blocks meets in one
-    task: a fragment-and-replicate grid keyed by (query block, vector block).  Either way a task emits only its
-    local top-k, so the final ranking shuffles k rows per query and block.
+    Both sides are cut into blocks of about ``block`` rows and every pair of blocks meets in one task: a
+    fragment-and-replicate grid keyed by (query block, vector block), the same for every size.  A task emits only
+    its local top-k, so the final ranking shuffles k rows per query and block.
     R8: with ``scope`` (query_id, chunk_id) only those pairs are scored, through equi joins.
     R20: ``exclude_self`` drops the query's own row (k + 1 nearest minus self).
     """
@@ -65,13 +62,7 @@ def vector_topk(
         cand = pairs.select("query_id", "chunk_id", F.round(dot(unit(F.col("_qe")), unit(F.col("_ve"))), 6).alias("score"))
     else:
         local_k = k + 1 if exclude_self else k
-        n_queries = queries.limit(max_broadcast + 1).count()
-        if n_queries == 0:
-            cand = queries.sparkSession.createDataFrame([], schema)
-        elif n_queries <= max_broadcast:
-            cand = _stationary(q, vectors, local_k, schema, n_queries)
-        else:
-            cand = _grid(q, vectors, local_k, schema, block)
+        cand = _grid(q, vectors, local_k, schema, block)
     if exclude_self:
         cand = cand.where(F.col("query_id") != F.col("chunk_id"))
     return top_k(cand, k)
@@ -81,19 +72,6 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def _stationary(q: DataFrame, vectors: DataFrame, k: int, schema: str, n: int) -> DataFrame:
-    rows = q.limit(n).toPandas()  # n <= max_broadcast was just proven
-    shipped = q.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(rows["_qe"])))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, qm = shipped.value
-        for pdf in batches:
-            if len(pdf):
-                yield _block_top(qm, qid, _matrix(pdf["embedding"]), pdf["chunk_id"].to_numpy(), k, None)
-
-    return vectors.select("chunk_id", "embedding").mapInPandas(run, schema)
-
-
 def _grid(q: DataFrame, vectors: DataFrame, k: int, schema: str, block: int) -> DataFrame:
     nq = max(1, math.ceil(q.count() / block))
     nv = max(1, math.ceil(vectors.count() / block))

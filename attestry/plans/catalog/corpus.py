@@ -534,9 +534,9 @@ def c12b(spark, sf):
 @register("c13_dedupe_chunks", """
 WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 SELECT source AS doc_id, doc_id AS in_doc, i AS line_no, md5(line) AS checksum FROM l
-QUALIFY row_number() OVER (PARTITION BY source, substr(trim(line), 1, 200) ORDER BY doc_id, i) = 1""")
+QUALIFY row_number() OVER (PARTITION BY source, trim(line) ORDER BY doc_id, i) = 1""")
 def c13(spark, sf):
-    """Lines of all documents of one source, each distinct prefix once."""
+    """Lines of all documents of one source, each distinct line once."""
     l = docs(spark, sf).select(F.col("source"), F.col("doc_id").alias("in_doc"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     rows = l.select(F.col("source").alias("doc_id"), "in_doc", big(F.col("i") + 1).alias("line_no"), "text", F.struct("in_doc", "i").alias("start_char"))
     return C.dedupe_chunks(rows).select("doc_id", "in_doc", "line_no", F.md5("text").alias("checksum"))

@@ -159,8 +159,8 @@ def a8c(spark, sf):
 
 @register("a9_prioritise", DET + """, n AS (SELECT count(*) FILTER (list_contains(r, 'error')) AS e, count(*) FILTER (list_contains(r, 'hallucination')) AS h,
  count(*) FILTER (list_contains(r, 'low_f1')) AS f, count(*) FILTER (list_contains(r, 'bad_citation')) AS b, (count(*) FILTER (len(r) > 0))::double / count(*) AS rate FROM rs)
- SELECT unnest(list_filter([CASE WHEN e > 0 THEN '1. Fix system errors immediately' END, CASE WHEN h > 0 THEN '2. Address hallucination issues with stricter prompts' END,
-  CASE WHEN f > 5 THEN '3. Improve retrieval and reranking' END, CASE WHEN b > 3 THEN '4. Fix citation tracking' END,
-  CASE WHEN rate > 0.1 THEN '5. Consider switching to a better base model' END], lambda x: x IS NOT NULL)) AS action FROM n""")
+ SELECT unnest(list_filter([CASE WHEN e > 0 THEN 'errors' END, CASE WHEN h > 0 THEN 'grounding' END,
+  CASE WHEN f > 5 THEN 'retrieval' END, CASE WHEN b > 3 THEN 'citations' END,
+  CASE WHEN rate > 0.1 THEN 'model' END], lambda x: x IS NOT NULL)) AS action FROM n""")
 def a9(spark, sf):
     return E.prioritise(details(spark, sf))

@@ -138,7 +138,7 @@ def l6(spark, sf):
 @register("l8_strip_suffix_terms")
 def l8(spark, sf):
     d = load_table(spark, sf, "documents")
-    title = F.concat(F.substring("text", 1, 40), F.lit(" 문화예술과 총무과"))
+    title = F.concat("text", F.lit(" 문화예술과 총무과"))
     s = L.strip_suffix_terms(title)
     return d.select("doc_id", F.md5(s["title"]).alias("checksum"), F.array_join(s["removed"], ",").alias("removed"))
 
@@ -202,7 +202,7 @@ rc AS (SELECT *, string_split(body, ' ')[1] AS title FROM rec)"""
 
 
 @register("l14_dedupe_records", f"""WITH {REC} SELECT doc_id, i AS line_no, md5(body) AS checksum FROM rc
-QUALIFY row_number() OVER (PARTITION BY doc_id, substr(regexp_replace(title || '||' || body || '||' || lang, '\\s+', ' ', 'g'), 1, 500) ORDER BY i) = 1""")
+QUALIFY row_number() OVER (PARTITION BY doc_id, regexp_replace(title || '||' || body || '||' || lang, '\\s+', ' ', 'g') ORDER BY i) = 1""")
 def l14(spark, sf):
     out = L.dedupe_records(records(spark, sf))
     return out.select("doc_id", (F.col("index") + 1).cast("bigint").alias("line_no"), F.md5("body").alias("checksum"))

@@ -141,7 +141,7 @@ flagged AS (
 ),
 filtered AS MATERIALIZED (
   SELECT query_id, chunk_id, rrf_score, keyword_relevance, coalesce(reason, 'emergency_fallback') AS include_reason,
-         round(rrf_score * 0.7e0 + keyword_relevance * 0.3e0, 6) AS relevance
+         CAST(CAST(rrf_score AS DECIMAL(18,9)) * CAST(0.7 AS DECIMAL(2,1)) + CAST(keyword_relevance AS DECIMAL(18,9)) * CAST(0.3 AS DECIMAL(2,1)) AS DOUBLE) AS relevance
   FROM (SELECT *, max(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS anyk FROM flagged)
   WHERE reason IS NOT NULL OR (anyk = 0 AND rn <= 2))"""
 

@@ -1,20 +1,24 @@
-"""Helpers that keep plans safe at cluster scale: lineage cuts, size-checked broadcast, hot-key handling."""
+"""Helpers that keep plans safe at cluster scale: lineage cuts and shared intermediates."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; pick one only where none is set."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master, as in tests, gets a folder of its own; a cluster is an error, since its
+    executors could not read each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
 
 
@@ -52,26 +56,3 @@ def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
     if full not in _SHARED:
         _SHARED[full] = cut_lineage(build())
     return _SHARED[full]
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after proving the side has at most ``max_rows`` rows.
-
-    The probe reads ``max_rows + 1`` rows at most.  Above the bound the side is returned unhinted, so the
-    planner keeps a shuffle join (AQE splits its skewed partitions).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def salted_sum(df: DataFrame, keys: list[str], aggs: dict[str, str], salt_on: Column, buckets: int) -> DataFrame:
-    """Two-step additive aggregation: (keys, salt) then keys.
-
-    For sums whose partial aggregation cannot shrink the input on the map side (many values per key spread
-    over all tasks) this spreads one hot key over ``buckets`` reducers.  ``aggs`` maps column -> sum|max|min.
-    """
-    fn = {"sum": F.sum, "max": F.max, "min": F.min}
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(buckets)))
-    first = salted.groupBy(*keys, "_salt").agg(*[fn[a](c).alias(c) for c, a in aggs.items()])
-    return first.groupBy(*keys).agg(*[fn[a](c).alias(c) for c, a in aggs.items()])

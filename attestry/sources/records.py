@@ -55,9 +55,8 @@ def load_logs(logs: DataFrame, date: str, query_type: str | None = None, limit:
     out = logs.where(F.col("log_date") == F.lit(date).cast("date"))
     if query_type is not None:
         out = out.where(F.col("query_type") == query_type)
-    if limit is None:
-        return out
-    return out.orderBy(F.col("timestamp").desc(), F.col("log_id").desc()).limit(limit)
+    out = out.orderBy(F.col("timestamp").desc(), F.col("log_id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ def test_vector_grid_equals_broadcast(spark):
     q = v.withColumnRenamed("chunk_id", "query_id")
     key = lambda d: {(x.query_id, x.rank): (x.chunk_id, round(x.score, 6)) for x in d.collect()}
     one = key(vector.vector_topk(q, v, 4, exclude_self=True))
-    assert one == key(vector.vector_topk(q, v, 4, exclude_self=True, max_broadcast=5, block=16))
+    assert one == key(vector.vector_topk(q, v, 4, exclude_self=True, block=16))
     scope = q.select("query_id").join(v.select("chunk_id"), F.col("chunk_id") % 2 == F.col("query_id") % 2)
     got = vector.vector_topk(q, v, 3, scope=scope).collect()
     assert all(x.chunk_id % 2 == x.query_id % 2 for x in got) and len(got) == 180
