@@ -181,8 +181,8 @@ def drop_symbols(c: Column, symbols: str = P.BOX_SYMBOLS) -> Column:
     return F.trim(collapse(F.translate(c, symbols, "")))
 
 
-def flag_blocked(c: Column, terms: Sequence[str] = P.BLOCKED_TERMS) -> Column:
-    """P31. True when the text contains a blocked term (fixed list, literal match)."""
+def flag_blocked(c: Column, terms: Sequence[str]) -> Column:
+    """P31. True when the text contains a blocked term (the caller's list, literal match)."""
     hit = F.lit(False)
     for t in terms:
         hit = hit | c.contains(t)

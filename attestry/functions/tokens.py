@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,19 +33,9 @@ def words(c: Column) -> Column:
     return find_all(replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\S+")
 
 
-def count_tokens(c: Column, mode: str = "chars") -> Column:
-    """C8. Token count: ``chars`` is length/3; ``cl100k`` uses tiktoken where its vocabulary is present."""
-    if mode == "chars":
-        return F.floor(F.length(c) / F.lit(3)).cast("bigint")
-
-    @F.pandas_udf("bigint")
-    def run(s: pd.Series) -> pd.Series:
-        import tiktoken
-
-        enc = tiktoken.get_encoding("cl100k_base")
-        return s.map(lambda t: 0 if t is None else len(enc.encode(t)))
-
-    return run(c)
+def count_tokens(c: Column) -> Column:
+    """C8. Token count: length / 3."""
+    return F.floor(F.length(c) / F.lit(3)).cast("bigint")
 
 
 def split_sentences(c: Column, mode: str = "strip") -> Column:

@@ -146,7 +146,6 @@ META_KEYWORDS = ("요약", "정리", "간단히", "짧게", "다시", "설명")
 # Layout extraction.
 BULLET = "○"
 MAIN_BOUNDARY_OFFSET = -12.0
-LABEL_BOUNDARY_OFFSET = 6.0
 BOX_SYMBOLS = "󰏅󰎨│┃┌┐└┘├┤┬┴┼─━"
 RULE_LINE_PATTERN = r"^[│┃┌┐└┘├┤┬┴┼─━\s]+$"
 PAGE_NUMBER_PATTERN = r"^\s*-?\s*\d{1,3}\s*-?\s*$"
@@ -183,12 +182,6 @@ TITLE_NOUN_ENDINGS = (
     "심사", "감사", "점검", "모니터링", "피드백", "예술촌", "문화",
 )
 
-# Blocked terms of the contamination audit.
-BLOCKED_TERMS = (
-    "곡성군", "전라남도", "홍티예술촌", "곡성군_문화예술_정책_2024.pdf", "문화재청_등록문화재_2018.hwp", "오곡면 홍티길",
-    "제789호", "2012년에 개관",
-)
-
 # Evaluation gates.
 GATES = {"exact_match": 0.95, "f1_score": 0.99, "citation_accuracy": 0.995, "hallucination_rate": 0.0}
 
