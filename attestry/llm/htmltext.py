@@ -43,7 +43,6 @@ HEADERS = frozenset("header head".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\S])(hidden)(?![\S=])""")
 _CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -135,7 +134,7 @@ def subtree_marks(root: Node) -> dict[int, Node]:
     for node in reversed(order):
         h = hashlib.blake2b(f"{node.tag}\0{node.attributes.get('class', '')}\0".encode(), digest_size=8)
         for c in node.children:
-            h.update(c.mark.to_bytes(8, "little", signed=True) if isinstance(c, Node) else b"\1" + _SPACE.sub(" ", c).encode("utf-8", "surrogatepass"))
+            h.update(c.mark.to_bytes(8, "little", signed=True) if isinstance(c, Node) else b"\1" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
         node.mark = int.from_bytes(h.digest(), "little", signed=True)
         if node.tag in BLOCKS and node.tag not in ("html", "body", "head", "li"):
             found[node.mark] = node
@@ -158,7 +157,7 @@ def main_text(root: Node, template: set[int]) -> str:
     open_: list[str] = []
 
     def end() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(open_))).strip()
+        text = " ".join(html.unescape("".join(open_)).split())
         if text:
             blocks.append(text)
         open_.clear()
