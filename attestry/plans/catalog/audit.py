@@ -1,5 +1,6 @@
 """Bindings of the audit rows: an assistant turn answers the user turn before it; its evidence is that turn's
-top five documents; line i of an answer carries the marker [(i - 1) % 5 + 1]."""
+top five documents; line i of an answer carries the marker [(i - 1) % 5 + 1];
+every sentence of an answer is a key fact.  An id of a turn is conv_id * 10**9 + turn."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ def base(spark, sf):
     c = load_table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = c.withColumn("pr", F.lag("role").over(w)).withColumn("pt", F.lag("turn").over(w)).where("role = 'assistant' AND pr = 'user'")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("response_id"), (F.col("conv_id") * 100 + F.col("pt")).alias("query_id"), "text")
+    return c.select((F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("response_id"), (F.col("conv_id") * 1_000_000_000 + F.col("pt")).alias("query_id"), "text")
 
 
 def marked(c):
@@ -36,7 +37,7 @@ def marked(c):
 def responses(spark, sf):
     t = F.col("text")
     facts = split_sentences(t)
-    return base(spark, sf).select("response_id", "query_id", t.alias("raw"), marked(t).alias("answer"), F.slice(facts, 1, 2).alias("key_facts"), F.lit("").alias("details"))
+    return base(spark, sf).select("response_id", "query_id", t.alias("raw"), marked(t).alias("answer"), facts.alias("key_facts"), F.lit("").alias("details"))
 
 
 def evidence(spark, sf):
@@ -53,9 +54,9 @@ def citations(spark, sf):
 
 FACTS = r"""list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split_regex({c}, '[.!?。]\s*')], lambda x: x <> '')"""
 R = TH + rf""",
-b0 AS (SELECT conv_id * 100 + turn AS response_id, conv_id * 100 + lag(turn) OVER o AS query_id, text, role, lag(role) OVER o AS pr FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+b0 AS (SELECT conv_id * 1000000000 + turn AS response_id, conv_id * 1000000000 + lag(turn) OVER o AS query_id, text, role, lag(role) OVER o AS pr FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 rs AS MATERIALIZED (SELECT response_id, query_id, text AS raw, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: l || ' [' || ((i - 1) % 5 + 1) || ']'), chr(10)) AS answer,
-  {FACTS.format(c='text')}[1:2] AS key_facts FROM b0 WHERE role = 'assistant' AND pr = 'user'),
+  {FACTS.format(c='text')} AS key_facts FROM b0 WHERE role = 'assistant' AND pr = 'user'),
 ev AS MATERIALIZED (SELECT response_id, rank, th.doc_id, d.text FROM rs JOIN th USING (query_id) JOIN documents d ON d.doc_id = th.doc_id WHERE rank <= 5),
 et AS MATERIALIZED (SELECT response_id, string_agg(text, ' ' ORDER BY rank) AS evidence_text, count(*) AS n FROM ev GROUP BY response_id),
 ap AS MATERIALIZED (SELECT rs.*, coalesce(evidence_text, '') AS evidence_text, coalesce(n, 0) AS n, answer || ' ' || array_to_string(key_facts, ' ') || ' ' AS response_text FROM rs LEFT JOIN et USING (response_id))"""
@@ -352,6 +353,6 @@ def r14(spark, sf):
 def k9(spark, sf):
     from attestry.operators.dialog import memory_facts
 
-    r = responses(spark, sf).withColumn("session_id", F.floor(F.col("response_id") / 100)).withColumn("seq", F.col("response_id") % 100)
+    r = responses(spark, sf).withColumn("session_id", F.expr("response_id div 1000000000")).withColumn("seq", F.col("response_id") % 1_000_000_000)
     src = evidence(spark, sf).select("response_id", F.col("rank").alias("display_index"), "doc_id")
     return memory_facts(r, src).select("response_id", "doc_id", F.md5("text").alias("checksum"))

@@ -151,7 +151,7 @@ def turns(spark, sf):
     ent = F.regexp_extract("content", r"\p{L}{3,}", 0)
     t = m.withColumn("last_user", F.last(F.when(F.col("role") == "user", F.col("content")), True).over(prior)).withColumn(
         "entity", F.last(F.when(F.col("role") == "assistant", ent), True).over(prior))
-    return t.where("role = 'user'").select((F.col("session_id") * 100 + F.col("seq")).alias("query_id"), F.col("content").alias("query"), "last_user", "entity")
+    return t.where("role = 'user'").select((F.col("session_id") * 1_000_000_000 + F.col("seq")).alias("query_id"), F.col("content").alias("query"), "last_user", "entity")
 
 
 META = ("when", "avec", "nicht")
@@ -160,7 +160,7 @@ META = ("when", "avec", "nicht")
 @register("k7_rewrite_queries", rf"""WITH {MSG}, x AS (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER p AS last_user,
  last_value(CASE WHEN role = 'assistant' THEN regexp_extract(content, '\p{{L}}{{3,}}') END IGNORE NULLS) OVER p AS entity
  FROM m WINDOW p AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT session_id * 100 + seq AS query_id, content AS query, last_user, entity, regexp_extract_all(content, '[\p{{L}}]{{3,}}') AS qw, regexp_extract_all(entity, '[\p{{L}}]{{3,}}') AS ew FROM x WHERE role = 'user'),
+t AS (SELECT session_id * 1000000000 + seq AS query_id, content AS query, last_user, entity, regexp_extract_all(content, '[\p{{L}}]{{3,}}') AS qw, regexp_extract_all(entity, '[\p{{L}}]{{3,}}') AS ew FROM x WHERE role = 'user'),
 r AS (SELECT *, CASE WHEN ({' OR '.join(f"contains(lower(query), '{k}')" for k in META)}) AND last_user IS NOT NULL THEN 'meta_question'
   WHEN entity IS NULL OR entity = '' THEN 'no_context_available' WHEN contains(lower(query), lower(entity)) THEN 'entity_already_present'
   WHEN len(qw) > 0 AND len(list_intersect(qw, ew)) = 0 THEN 'topic_change_no_overlap' ELSE 'context_enriched' END AS reason FROM t)
@@ -174,23 +174,23 @@ def k7(spark, sf):
 def turn_hits(spark, sf):
     """Top ten documents of every user turn, retrieved once and shared (scores normalised per query)."""
     def build():
-        q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 100 + F.col("seq")).alias("query_id"), F.col("content").alias("text"))
+        q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 1_000_000_000 + F.col("seq")).alias("query_id"), F.col("content").alias("text"))
         return norm_by_max(bm25_topk(q, lexical_of(spark, sf), 10)).withColumn("score", F.round("normalized_score", 6)).drop("normalized_score")
 
     return shared(spark, ("turn_hits", sf), build)
 
 
-TURN_Q = "q AS (SELECT conv_id * 100 + turn AS query_id, text FROM conversations WHERE role = 'user')"
+TURN_Q = "q AS (SELECT conv_id * 1000000000 + turn AS query_id, text FROM conversations WHERE role = 'user')"
 TH = (f"WITH {TURN_Q}," + Q.bm25_ctes(10, out="th0") + """,
 th AS MATERIALIZED (SELECT query_id, chunk_id AS doc_id, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score, rank FROM th0),
-fst AS (SELECT query_id // 100 AS conv, min(query_id) AS first_q FROM q GROUP BY ALL),
-ctx AS MATERIALIZED (SELECT q.query_id, th.doc_id FROM q JOIN fst ON q.query_id // 100 = conv JOIN th ON th.query_id = first_q WHERE q.query_id <> first_q)""")
+fst AS (SELECT query_id // 1000000000 AS conv, min(query_id) AS first_q FROM q GROUP BY ALL),
+ctx AS MATERIALIZED (SELECT q.query_id, th.doc_id FROM q JOIN fst ON q.query_id // 1000000000 = conv JOIN th ON th.query_id = first_q WHERE q.query_id <> first_q)""")
 
 
 def context_of(spark, sf):
     """Context documents of a later turn: the hits of its session's first question."""
     h = turn_hits(spark, sf)
-    q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 100 + F.col("seq")).alias("query_id"), "session_id")
+    q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 1_000_000_000 + F.col("seq")).alias("query_id"), "session_id")
     first = q.groupBy("session_id").agg(F.min("query_id").alias("first_q"))
     later = q.join(first, "session_id").where("query_id <> first_q").select("query_id", "first_q")
     return later.join(h.select(F.col("query_id").alias("first_q"), "doc_id"), "first_q").select("query_id", "doc_id")
@@ -249,7 +249,7 @@ def t2(spark, sf):
 
 def scope_turns(spark, sf):
     h = turn_hits(spark, sf)
-    q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 100 + F.col("seq")).alias("query_id"), F.col("content").alias("text"))
+    q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 1_000_000_000 + F.col("seq")).alias("query_id"), F.col("content").alias("text"))
     ctx = context_of(spark, sf).groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("previous"))
     n = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     none = F.array().cast("array<bigint>")
@@ -294,7 +294,7 @@ def k8(spark, sf):
     d = load_table(spark, sf, "documents").select("doc_id", F.col("text").alias("d_text"))
     ev = turn_hits(spark, sf).where("rank <= 2").join(d, "doc_id").groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "doc_id", F.col("d_text").alias("text")))).alias("ev"))
-    q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 100 + F.col("seq")).alias("query_id"), "content")
+    q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 1_000_000_000 + F.col("seq")).alias("query_id"), "content")
     return q.join(ev, "query_id").select("query_id", K.carry_over(F.col("content"), F.col("ev")).alias("facts"))
 
 

@@ -17,14 +17,14 @@ from attestry.session import load_table
 def pairs(spark, sf):
     c = load_table(spark, sf, "conversations").where("role = 'assistant'")
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("pred"), nxt.alias("ref"))
+    return c.select((F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("question_id"), F.col("text").alias("pred"), nxt.alias("ref"))
 
 
 def both(spark, sf):
     return pairs(spark, sf).where("ref IS NOT NULL")
 
 
-PAIRS = """a AS (SELECT conv_id * 100 + turn AS question_id, text AS pred, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref
+PAIRS = """a AS (SELECT conv_id * 1000000000 + turn AS question_id, text AS pred, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref
   FROM conversations WHERE role = 'assistant'), pr AS (SELECT * FROM a WHERE ref IS NOT NULL)"""
 
 
