@@ -157,7 +157,15 @@ def over_docs(fn, *cols):
     return run
 
 
-@register("p1_clean_for_index")
+def clean_sql(c):
+    """P1 in SQL; unassigned code points, which RE2 has no class for, do not occur in the tables."""
+    for pattern, to in ((r"\p{Co}|[^\P{Cc}\n\t]|\p{Cf}", ""), (r"(?m)^[ \t]+|[ \t]+$", ""), (r"[ \t]+", " ")):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    c = f"regexp_replace({c}, '\\n{{4,}}', repeat(chr(10), 3), 'g')"
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("p1_clean_for_index", f"SELECT doc_id, md5({clean_sql('text')}) AS checksum, length(text) - length({clean_sql('text')}) AS removed FROM documents")
 def p1(spark, sf):
     c = N.clean_for_index(F.col("text"))
     return docs(spark, sf).select("doc_id", F.md5(c).alias("checksum"), big(F.length("text") - F.length(c)).alias("removed"))
@@ -466,7 +474,7 @@ def c5(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(C.table_text(rows, F.col("source"))).alias("checksum"))
 
 
-@register("c6_chunk_footnotes")
+@register("c6_chunk_footnotes", f"""SELECT doc_id, md5({clean_sql("('[각주 ' || n_chars || '] ' || text)")}) AS checksum FROM documents""")
 def c6(spark, sf):
     notes = docs(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("footnote_id"), F.col("n_chars").alias("number"), "text")
     return C.chunk_footnotes(notes).select("doc_id", F.md5("text").alias("checksum"))
@@ -498,13 +506,21 @@ def c9(spark, sf):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), big(F.max(F.length("s"))).alias("longest"))
 
 
-@register("c10_evidence_units")
+@register("c10_evidence_units", r"""
+WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+p AS (SELECT doc_id, text, flatten(list_transform(ls, lambda x: CASE WHEN length(x) > 180
+   THEN list_filter(string_split(regexp_replace(x, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y) <> '') ELSE [x] END)) AS ps FROM l),
+u AS (SELECT doc_id, unnest(CASE WHEN len(ps) > 0 THEN ps ELSE [trim(text)] END) AS unit FROM p)
+SELECT doc_id, count(*) AS units, max(length(unit)) AS longest FROM u GROUP BY doc_id""")
 def c10(spark, sf):
     u = docs(spark, sf).select("doc_id", F.posexplode(C.evidence_units(F.col("text"))).alias("unit_no", "unit"))
     return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), big(F.max(F.length("unit"))).alias("longest"))
 
 
-@register("c11_split_bullets")
+@register("c11_split_bullets", r"""
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^(\p{Lu})', '○ \1', 'g'), '(?m)^(\s*○)', chr(1) || '\1', 'g') AS t FROM documents),
+b AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: starts_with(x, '○') AND length(x) >= 8)) AS block FROM m)
+SELECT doc_id, count(*) AS blocks, CAST(sum(length(block)) AS BIGINT) AS chars FROM b GROUP BY doc_id""")
 def c11(spark, sf):
     marked = F.regexp_replace("text", r"(?m)^(\p{Lu})", "○ $1")
     u = docs(spark, sf).select("doc_id", F.explode(C.split_bullets(marked)).alias("block"))

@@ -11,6 +11,7 @@ from attestry.operators import dialog as K
 from attestry.operators import scope as T
 from attestry.operators import sessions as W
 from attestry.operators.lexical import bm25_topk, norm_by_max
+from attestry import params as P
 from attestry.plans.catalog import register
 from attestry.plans.catalog import sql as Q
 from attestry.plans.catalog.retrieval import lexical_of
@@ -97,7 +98,16 @@ def w10(spark, sf):
     return W.session_titles(messages(spark, sf))
 
 
-@register("w10_keyword_titles")
+ENDINGS = "|".join(P.TITLE_NOUN_ENDINGS)
+
+
+@register("w10_keyword_titles", rf"""WITH {MSG},
+n AS (SELECT session_id, seq, content AS c, regexp_extract_all(content, '[\p{{L}}]{{2,}}(?:{ENDINGS})') AS a, regexp_extract_all(content, '[\p{{L}}]{{3,}}') AS b, regexp_extract_all(content, '\S+') AS w FROM m WHERE role = 'user'),
+p AS (SELECT *, CASE WHEN len(a) > 0 THEN a ELSE b END AS x FROM n),
+k AS (SELECT *, list_transform(list_sort(list_transform(list_filter(x, lambda y, i: list_position(x, y) = i), lambda y, i: {{'n': -length(y), 'i': i, 'w': y}})), lambda s: s.w) AS ranked, trim(substr(array_to_string(w[1:5], ' '), 1, 20)) AS head FROM p),
+t AS (SELECT *, CASE WHEN len(x) > 0 THEN array_to_string(ranked[1:2], ' ') ELSE (CASE WHEN length(head) < 5 THEN trim(substr(c, 1, 20)) ELSE head END) || (CASE WHEN length(c) > 20 THEN '...' ELSE '' END) END AS t1 FROM k),
+u AS (SELECT *, CASE WHEN length(t1) < 3 THEN trim(substr(c, 1, 20)) ELSE t1 END AS t2 FROM t)
+SELECT session_id, seq, CASE WHEN length(c) < 5 THEN '새 대화' ELSE substr(t2, 1, 20) END AS title FROM u""")
 def w10b(spark, sf):
     return messages(spark, sf).where("role = 'user'").select("session_id", "seq", W.keyword_title(F.col("content"), letters=r"\p{L}").alias("title"))
 

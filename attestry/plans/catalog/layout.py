@@ -162,7 +162,11 @@ def l10(spark, sf):
     return load_table(spark, sf, "documents").groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("docs"))
 
 
-@register("l11_title_body")
+@register("l11_title_body", r"""
+WITH l AS (SELECT doc_id, string_split_regex(text, '\r?\n') AS ls FROM documents),
+j AS (SELECT doc_id, trim(regexp_replace(ls[1], '^\s*○+', '')) AS title, array_to_string(list_filter(list_transform(ls[2:], lambda x: trim(x)), lambda x: x <> ''), ' ') AS body FROM l),
+b AS (SELECT doc_id, title, regexp_replace(regexp_replace(regexp_replace(body, '\s*([.?!])\s*', '\1' || chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM j)
+SELECT doc_id, md5(title) AS title, md5(CASE WHEN body = '' THEN '' WHEN starts_with(body, '-') THEN body ELSE '- ' || body END) AS body FROM b""")
 def l11(spark, sf):
     s = X.split_title_body(F.col("text"))
     return load_table(spark, sf, "documents").select("doc_id", F.md5(s["title"]).alias("title"), F.md5(s["body"]).alias("body"))

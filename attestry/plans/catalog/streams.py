@@ -17,7 +17,14 @@ def events(spark, sf):
     return load_table(spark, sf, "events")
 
 
-@register("x1_rate_limit")
+RECENT = "list_filter(f.acc, lambda a: a > o.us - 5400000000)"
+
+
+@register("x1_rate_limit", f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f(user_id, event_id, i, acc, ok) AS (SELECT user_id, event_id, i, [us], true FROM o WHERE i = 1
+ UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN len({RECENT}) < 2 THEN list_append({RECENT}, o.us) ELSE {RECENT} END, len({RECENT}) < 2
+ FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id AS key, event_id AS request_id, ok AS accepted FROM f""")
 def x1(spark, sf):
     """Two requests per user and 90 minutes."""
     return X.rate_limit_batch(events(spark, sf), "user_id", "event_id", "ts", 2, 5400)
@@ -52,7 +59,12 @@ def x4(spark, sf):
     return s.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "events")
 
 
-@register("x5_dedupe_ttl")
+@register("x5_dedupe_ttl", """WITH RECURSIVE e AS (SELECT event_id, concat_ws('|', event_type, props) AS key, epoch_us(ts) AS us FROM events),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS i FROM e),
+f(key, event_id, i, stored, kept) AS (SELECT key, event_id, i, us, true FROM o WHERE i = 1
+ UNION ALL SELECT o.key, o.event_id, o.i, CASE WHEN o.us - f.stored >= 36000000000 THEN o.us ELSE f.stored END, o.us - f.stored >= 36000000000
+ FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1)
+SELECT event_id AS request_id, kept FROM f""")
 def x5(spark, sf):
     e = events(spark, sf).withColumn("key", F.concat_ws("|", "event_type", "props"))
     return X.dedupe_ttl_batch(e, "key", "event_id", "ts", 36000)
