@@ -380,9 +380,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     long_texts = docs.where(F.octet_length("text") >= length).select("key", "text")
 
     marks = settle(long_texts.mapInArrow(_anchors(length, anchor), "h long, key long, pos long"))
-    twice = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # settled, so that the join below deals both sides anew and a very common anchor's partition can be split
+    twice = settle(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     spots = settle(marks.join(twice, "h").groupBy("key").agg(F.collect_list(F.col("pos").cast("int")).alias("spots")))
-    discard(marks)
+    discard(marks, twice)
     texts = settle(long_texts.join(spots, "key").select("key", "text", "spots"))
     schema = "h long, ctx long, key long, digest long, pos int, first int, last int, left binary, right binary"
     contexts = settle(texts.mapInArrow(_contexts(length, anchor), schema))
