@@ -22,6 +22,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where(test: Callable[[Column], Column], rule: Callable[[Column], Column], c: Column) -> Column:
+    """``rule`` for the texts that pass one cheap test, which every text that it changes does."""
+    return let(c, lambda t: F.when(test(t), rule(t)).otherwise(t))
+
+
 def replace(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
@@ -69,6 +74,10 @@ def _padded(c: Column, pattern: str, year_prefix: str) -> Column:
 
 def norm_dates(c: Column, parity: bool = False) -> Column:
     """P3. Dates to ISO. The default does not fire inside longer dotted numbers (versions, addresses)."""
+    return where(lambda t: t.rlike("[0-9]"), lambda t: _dates(t, parity), c)
+
+
+def _dates(c: Column, parity: bool) -> Column:
     c = _padded(c, r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일", "")
     if parity:
         c = _padded(c, r"(\d{2})\.(\d{1,2})\.(\d{1,2})", "20")
@@ -81,6 +90,10 @@ def norm_dates(c: Column, parity: bool = False) -> Column:
 
 def norm_numbers(c: Column, parity: bool = False) -> Column:
     """P4. Thousands commas, percent signs, common fractions. The default leaves ISO dates alone."""
+    return where(lambda t: t.rlike(r"(?U)\d"), lambda t: _numbers(t, parity), c)
+
+
+def _numbers(c: Column, parity: bool) -> Column:
     iso_guard = "" if parity else r"(?!\d{3}-\d{2}-\d{2}\b)"
     zero_guard = "" if parity else r"(?!\d+-\d{2}-\d{2}\b)"
     c = replace(c, r"(?U)\b(?=\d{4,}\b)" + zero_guard + r"0+(?=\d)")
@@ -96,7 +109,7 @@ def norm_currency(c: Column, parity: bool = False) -> Column:
     """P5. Amounts before the currency sign: plain digits get commas, unit words become digits.
 
     A text without the sign is passed through after one substring test."""
-    return let(c, lambda t: F.when(t.contains("원"), _currency(t, parity)).otherwise(t))
+    return where(lambda t: t.contains("원"), lambda t: _currency(t, parity), c)
 
 
 def _currency(c: Column, parity: bool) -> Column:
@@ -119,6 +132,10 @@ def _currency(c: Column, parity: bool) -> Column:
 
 def norm_law_refs(c: Column) -> Column:
     """P6. Article, paragraph and item references without inner spaces."""
+    return where(lambda t: t.contains("제"), _law_refs, c)
+
+
+def _law_refs(c: Column) -> Column:
     for unit in ("조", "항", "호"):
         c = replace(c, rf"제\s*(\d+)\s*{unit}", f"제$1{unit}")
     c = replace(c, r"(제\d+조)(제\d+항)", "$1 $2")
@@ -137,7 +154,7 @@ def norm_punct(c: Column) -> Column:
 def expand_terms(c: Column, terms: Mapping[str, str] = P.ABBREVIATIONS) -> Column:
     """P8. Whole-word abbreviation expansion over a small fixed dictionary."""
     for abbr, full in terms.items():
-        c = replace(c, rf"(?U)\b{quoted(abbr)}\b", literal(full))
+        c = where(lambda t, a=abbr: t.contains(a), lambda t, a=abbr, f=full: replace(t, rf"(?U)\b{quoted(a)}\b", literal(f)), c)
     return c
 
 
