@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import params as P
-from attestry.functions.normalize import collapse, literal, quoted, replace
+from attestry.functions.normalize import collapse, literal, quoted, replace, where
 
 
 def count_matches(c: Column, pattern: str) -> Column:
@@ -19,12 +19,17 @@ def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def _may_hold(c: Column, kind: str) -> Column:
+    """A cheap test that every text with personal data of the kind passes."""
+    return c.contains("@") if kind == "email" else c.rlike("[0-9]")
+
+
 def mask_pii(c: Column, order: Sequence[str] = P.PII_ORDER) -> Column:
     """P14. Replace personal data by its mask, most specific kind first (``PII_ORDER_PARITY`` reproduces
     the order in which the phone rule eats parts of longer numbers)."""
     for kind in order:
         pattern, mask = P.PII_PATTERNS[kind]
-        c = replace(c, pattern, mask)
+        c = where(lambda t, k=kind: _may_hold(t, k), lambda t, p=pattern, m=mask: replace(t, p, m), c)
     return c
 
 
@@ -35,9 +40,11 @@ def pii_counts(df: DataFrame, col: str, order: Sequence[str] = P.PII_ORDER) -> D
     out = df
     for kind in order:
         pattern, mask = P.PII_PATTERNS[kind]
-        out = out.withColumn(f"n_{kind}", count_matches(c, pattern))
-        c = replace(c, pattern, mask)
-    return out.withColumn("masked", c)
+        some = _may_hold(c, kind)
+        out = out.withColumn(f"n_{kind}", F.when(some, count_matches(c, pattern)).when(c.isNotNull(), F.lit(0).cast("bigint")))
+        out = out.withColumn("_left", F.when(some, replace(c, pattern, mask)).otherwise(c))
+        c = F.col("_left")
+    return out.withColumn("masked", c).drop("_left")
 
 
 def sanitise(c: Column) -> Column:
