@@ -207,20 +207,24 @@ def align_lines(responses: DataFrame, evidence: DataFrame, p: Params = Params())
 
 
 def citation_accuracy(pairs: DataFrame, evidence: DataFrame, mode: str = "fuzzy", semantic: str | None = None) -> DataFrame:
-    """V14. Word Jaccard, length ratio and sentence coverage, with or without a semantic score column."""
+    """V14. Word Jaccard, length ratio and sentence coverage, with or without a semantic score column.
+
+    A response without evidence stays, with every score 0."""
     words = lambda c: F.array_distinct(find_all(norm_compare(c), r"\S+"))
     a, e = F.col("answer"), F.col("evidence_text")
     trimmed = lambda c: F.length(replace(c, r"^\s+|\s+$"))
     sent = F.transform(split_sentences(a, "lookback"), lambda s: norm_compare(s))
     ev = evidence.groupBy("response_id").agg(F.collect_list(norm_compare(F.col("text"))).alias("_ev"))
-    j = spread(pairs.join(ev, "response_id"), "response_id").withColumn("_s", sent)
+    j = spread(pairs.join(ev, "response_id", "left"), "response_id").withColumn("_s", sent)
+    j = j.withColumn("_ev", F.coalesce("_ev", F.array().cast("array<string>")))
+    seen = F.size("_ev") > 0
     if mode == "contains":
         covered = F.size(F.filter("_s", lambda s: F.exists("_ev", lambda t: t.contains(s))))
-        coverage = F.when(F.size("_s") == 0, 0.0).otherwise(covered / F.size("_s"))
+        coverage = F.when((F.size("_s") == 0) | ~seen, 0.0).otherwise(covered / F.size("_s"))
     else:
-        coverage = share_matched(0.8)(F.col("_s"), F.array_join("_ev", "\n"))
+        coverage = F.when(seen, share_matched(0.8)(F.col("_s"), F.array_join("_ev", "\n"))).otherwise(0.0)
     jac = F.round(jaccard(words(a), words(e)), 6)
-    length = F.round(F.least(trimmed(a) / F.greatest(trimmed(e), F.lit(1)), F.lit(1.0)), 6)
+    length = F.when(seen, F.round(F.least(trimmed(a) / F.greatest(trimmed(e), F.lit(1)), F.lit(1.0)), 6)).otherwise(0.0)
     m = j.select("response_id", jac.alias("jaccard_score"), length.alias("length_ratio"), F.round(coverage, 6).alias("citation_coverage"),
                  *([F.col(semantic).alias("semantic_score")] if semantic else []))
     total = (

@@ -227,8 +227,8 @@ def v13c(spark, sf):
  w AS (SELECT response_id, evs, list_distinct({Q.split_words(Q.norm_compare('raw'))}) AS a, list_distinct({Q.split_words(Q.norm_compare('evidence_text'))}) AS b,
   least(length(regexp_replace(raw, '^\s+|\s+$', '', 'g'))::double / greatest(length(regexp_replace(evidence_text, '^\s+|\s+$', '', 'g')), 1), 1e0) AS lr,
   [{Q.norm_compare('x')} for x in list_filter([regexp_replace(y, '^\s+|\s+$', '', 'g') for y in string_split_regex(regexp_replace(raw, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))], lambda z: z <> '')] AS s
-  FROM ap JOIN e2 USING (response_id)),
- m AS (SELECT response_id, round({Q.jaccard('a', 'b')}, 6) AS j, round(lr, 6) AS l, round(CASE WHEN len(s) = 0 THEN 0e0 ELSE len([x for x in s if len([e for e in evs if contains(e, x)]) > 0])::double / len(s) END, 6) AS c FROM w)
+  FROM ap LEFT JOIN e2 USING (response_id)),
+ m AS (SELECT response_id, round({Q.jaccard('a', 'b')}, 6) AS j, CASE WHEN evs IS NULL THEN 0e0 ELSE round(lr, 6) END AS l, round(CASE WHEN len(s) = 0 OR evs IS NULL THEN 0e0 ELSE len([x for x in s if len([e for e in evs if contains(e, x)]) > 0])::double / len(s) END, 6) AS c FROM w)
  SELECT response_id, j AS jaccard_score, l AS length_ratio, c AS citation_coverage, round(j * 0.4e0 + l * 0.3e0 + c * 0.3e0, 6) AS overall_score, round(j * 0.4e0 + l * 0.3e0 + c * 0.3e0, 6) >= 0.7 AS is_valid FROM m""")
 def v14(spark, sf):
     r = responses(spark, sf)

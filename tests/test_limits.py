@@ -85,3 +85,12 @@ def test_key_term_order_is_a_struct(spark):
     msgs = spark.createDataFrame([("s", 1, "user", "budget report budget"), ("s", 2, "assistant", "annual budget plan")], "session_id string, seq int, role string, content string")
     rows = K.key_terms(msgs).collect()
     assert all(r.term_no.r in (0, 1) for r in rows)
+
+
+def test_responses_without_evidence_stay(spark):
+    from attestry.operators import audit
+
+    pairs = spark.createDataFrame([(1, "one two three.", "one two three."), (2, "lonely words.", "")], "response_id long, answer string, evidence_text string")
+    ev = spark.createDataFrame([(1, "one two three.")], "response_id long, text string")
+    got = {r.response_id: r for r in audit.citation_accuracy(pairs, ev, mode="contains").collect()}
+    assert got[1].overall_score == 1.0 and got[2].overall_score == 0.0 and not got[2].is_valid
