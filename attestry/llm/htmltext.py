@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.store import settle
+from attestry.llm.store import settle, small_batches
 from attestry.llm.urltrust import host_of
 
 #: A subtree is template if so many pages of the host, and such a share of them, hold it.
@@ -222,6 +222,7 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
     gives an empty text; pages without a host form a host of their own; repeated rows count as pages each and come
     back as often as they came; an empty table gives an empty result.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.xxhash64(host_of(F.coalesce("url", F.lit("")))).alias("host")
     keyed = pages.select("*", F.xxhash64("page_id", "url", "html").alias("key"), host)

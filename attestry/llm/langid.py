@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import pieces
+from attestry.llm.store import small_batches
 
 WINDOW = 128
 EMBED = 6
@@ -193,6 +194,7 @@ def language(docs: DataFrame) -> DataFrame:
     or has no letter is ``und`` with score 0; so is every text if nothing can be learned.  A null doc_id is neither
     learned from nor held out; repeated rows come back as often as they came; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     fold = lambda c: F.coalesce(F.crc32(c.cast("string")) % 4 == 2, F.lit(False))
     net = fit(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~fold(F.col("doc_id"))))
     return predict(docs.select("doc_id", "text"), net, ["doc_id"]).select("row.doc_id", fold(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")

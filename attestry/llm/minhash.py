@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import mix64, shingle_sets
 from attestry.llm.components import components
-from attestry.llm.store import partitions, settle
+from attestry.llm.store import partitions, settle, small_batches
 
 WORDS = 5
 PERCENT = 85
@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     alone, then, where the cluster has not become one component, every pair of blocks, for pairs not yet joined.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"

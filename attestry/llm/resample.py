@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import LOWER, mix64, pieces, prefix_hash, span_hash, word_spans
-from attestry.llm.store import settle
+from attestry.llm.store import settle, small_batches
 
 BUCKETS = 1 << 16
 SMOOTH = 0.5
@@ -161,6 +161,7 @@ def resample(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     text has no n-grams, weight 0 and takes part like any other; a null doc_id is not labelled; a doc_id with
     several labels counts as good if one is 1.  Empty tables give an empty result; without labels all rows stay.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if carry is None or c in (*carry, "doc_id", "text")])
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("quality") == 1).alias("good"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))

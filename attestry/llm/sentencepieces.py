@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import pieces as text_runs
+from attestry.llm.store import small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -229,6 +230,7 @@ def encode_documents(docs: DataFrame, model: bytes, carry: list[str] | None = No
     empty table gives an empty result.  A text that holds the marker character itself decodes with a space in its
     place, so its ``round_trip`` is false.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, n_ids long, round_trip boolean, parity boolean"

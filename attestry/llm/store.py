@@ -19,6 +19,16 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Send texts to Python tasks a few MB at a time: a worker's memory then does not depend on how long texts are.
+
+    A size that the session sets itself, other than the default, is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(name, most)
+
+
 def release(spark: SparkSession) -> None:
     """Collect garbage on the driver, so that Spark's cleaner removes the shuffle files of plans no longer used."""
     gc.collect()

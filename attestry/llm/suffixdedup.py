@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import mix64, pieces, prefix_hash, span_hash
 from attestry.llm.gsaca import suffix_array
-from attestry.llm.store import discard, partitions, settle
+from attestry.llm.store import discard, partitions, settle, small_batches
 
 LENGTH = 200
 ANCHOR = 100
@@ -375,6 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     whole; a null doc_id is carried along.  An empty table gives an empty result.  ``key`` and ``digest`` name a text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     long_texts = docs.where(F.octet_length("text") >= length).select("key", "text")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import mix64, pieces, prefix_hash, span_hash
-from attestry.llm.store import settle
+from attestry.llm.store import settle, small_batches
 
 #: Labelled rows used for learning, at most: those of the smallest hashed doc_id.
 SAMPLE = 24_000
@@ -205,6 +205,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     count as empty, a null doc_id is not labelled and not held out; without labels of both classes every score is the share of the
     class that there is.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     fold = lambda c: F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
     told = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~fold(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
