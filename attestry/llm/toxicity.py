@@ -21,7 +21,7 @@ from attestry.llm.bytehash import mix64, pieces, prefix_hash, span_hash
 from attestry.llm.store import settle, small_batches
 
 #: Labelled rows used for learning, at most: those of the smallest hashed doc_id.
-SAMPLE = 24_000
+SAMPLE = 16_000
 #: Bytes of a word's beginning that make a pattern voter, besides the whole word.
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
 #: Pattern terms that become voters, and the texts of the rarer class that a term must stand in.
@@ -99,12 +99,13 @@ def _votes(terms: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            toxic = batch.column(1).to_pylist()
-            found: list[list[dict]] = [[] for _ in toxic]
-            for row, _, r, t, n in term_counts(batch.column(0), terms):
-                for i, j, c in zip(r.tolist(), t.tolist(), n.tolist(), strict=True):
-                    found[row + i].append({"term": j, "n": c})
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())])))], ["toxic", "found"])
+            terms_of, counts_of = [b""] * batch.num_rows, [b""] * batch.num_rows
+            for row, size, r, t, n in term_counts(batch.column(0), terms):
+                cut = np.searchsorted(r, np.arange(size + 1))
+                for i in range(size):
+                    terms_of[row + i] = t[cut[i] : cut[i + 1]].astype(np.int32).tobytes()
+                    counts_of[row + i] = n[cut[i] : cut[i + 1]].astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(terms_of, pa.binary()), pa.array(counts_of, pa.binary())], ["toxic", "terms", "counts"])
 
     return run
 
@@ -116,34 +117,36 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) ->
     reliability.  A voter's evidence is divided by the sum of its conditional correlations with all voters, so that
     voters that see the same word do not count twice.
     """
-    v = votes.astype(np.float64)
-    y = np.where(labels > 0, 0.97, 0.03).astype(np.float64)
+    v = votes.astype(np.float32)
+    together = (v.T @ v).astype(np.float64)
+    y = np.where(labels > 0, 0.97, 0.03)
     scale = np.ones(v.shape[1])
     for _ in range(rounds):
-        prior = (y.sum() + SMOOTH) / (len(y) + 2 * SMOOTH)
-        fire1 = (y @ v + SMOOTH) / (y.sum() + 2 * SMOOTH)
-        fire0 = ((1 - y) @ v + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH)
-        # conditional correlation of the voters, given the class
-        rest = v - (y[:, None] * fire1 + (1 - y)[:, None] * fire0)
-        cov = rest.T @ rest / len(v)
+        both = np.stack([y, 1 - y], axis=1)  # share of each class in each text
+        size = both.sum(axis=0)
+        hits = (v.T @ both.astype(np.float32)).astype(np.float64)  # (voters, classes)
+        fire = (hits + SMOOTH) / (size + 2 * SMOOTH)
+        # conditional correlation of the voters: what is left of their votes once the class is taken into account
+        cross = hits @ fire.T
+        cov = (together - cross - cross.T + fire @ (both.T @ both) @ fire.T) / len(v)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         scale = 1 / np.maximum(1, np.maximum(cov / np.outer(sd, sd), 0).sum(axis=1))
-        on, off = np.log(fire1 / fire0), np.log((1 - fire1) / (1 - fire0))
-        said1 = (y @ labels + SMOOTH) / (y.sum() + 2 * SMOOTH)
-        said0 = ((1 - y) @ labels + SMOOTH) / ((1 - y).sum() + 2 * SMOOTH)
-        logit = np.log(prior / (1 - prior)) + (v * (scale * on) + (1 - v) * (scale * off)).sum(axis=1)
-        logit += np.where(labels > 0, np.log(said1 / said0), np.log((1 - said1) / (1 - said0)))
+        on, off = np.log(fire[:, 0] / fire[:, 1]), np.log((1 - fire[:, 0]) / (1 - fire[:, 1]))
+        said = (both.T @ labels + SMOOTH) / (size + 2 * SMOOTH)
+        logit = np.log((size[0] + SMOOTH) / (size[1] + SMOOTH)) + v @ (scale * (on - off)).astype(np.float32) + (scale * off).sum()
+        logit += np.where(labels > 0, np.log(said[0] / said[1]), np.log((1 - said[0]) / (1 - said[1])))
         y = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
     return y, scale
 
 
 def linear(features: np.ndarray, target: np.ndarray, ridge: float = 1.0, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft targets, by full-batch Adam steps."""
-    x = features.astype(np.float32)
+    x = features.astype(np.float32, copy=False)
+    target = target.astype(np.float32)
     w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     m, s = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -40, 40)))
         g = np.append(x.T @ (p - target) + ridge * w / 100, (p - target).sum()) / len(x)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         d = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
@@ -165,16 +168,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
     gain = F.col("bad") * F.log(inside / outside) + (bad - F.col("bad")) * F.log((1 - inside) / (1 - outside))
     best = mined.where((F.col("bad") >= SUPPORT) & (inside > 3 * outside)).orderBy(gain.desc(), "term").limit(terms).select("term")
     known = np.sort(np.array([r[0] for r in best.collect()], dtype=np.int64).view(np.uint64))
-    seen = rows.mapInArrow(_votes(known), "toxic int, found array<struct<term:int,n:int>>").collect()
+    seen = rows.mapInArrow(_votes(known), "toxic int, terms binary, counts binary").toArrow()
     counts = np.zeros((len(seen), len(known)), dtype=np.float32)
-    labels = np.array([r["toxic"] for r in seen], dtype=np.float64)
-    for i, r in enumerate(seen):
-        for term, c in r["found"]:
-            counts[i, term] = c
+    labels = np.asarray(seen["toxic"]).astype(np.float64)
+    for i, (t, n) in enumerate(zip(seen["terms"].to_pylist(), seen["counts"].to_pylist(), strict=True)):
+        counts[i, np.frombuffer(t, dtype=np.int32)] = np.frombuffer(n, dtype=np.int32)
     votes = np.concatenate([counts >= k for k in AT_LEAST], axis=1)
     votes = votes[:, votes.any(axis=0)]
     posterior, _ = label_model(votes, labels)
-    weights, bias = linear(np.log1p(counts), posterior)
+    weights, bias = linear(np.log1p(counts, out=counts), posterior)
     return Model(known, weights, bias)
 
 
