@@ -23,6 +23,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BATCH_BYTES = 1 << 19
+#: Threads that the tokenizers library uses in one task; each keeps memory of its own.
+THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -112,7 +114,7 @@ def rebuild(model: dict):
 
 
 #: Words whose ids a task remembers; the table is emptied when it is full, which costs time and changes nothing.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: New words encoded as one text: cheaper than a text each.
 JOINED = 200
 
@@ -124,10 +126,9 @@ class Codec:
     compared and decoded once for as long as it is remembered, and not at each occurrence.
     """
 
-    def __init__(self, data: bytes, check: bool = True, threads: int | None = None) -> None:
+    def __init__(self, data: bytes, check: bool = True, threads: int = THREADS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        if threads:
-            os.environ["RAYON_NUM_THREADS"] = str(threads)
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
         model = parse_model(data)
         self.tokenizer = rebuild(model)
         self.by_word = self.tokenizer.pre_tokenizer is not None and model["dummy_prefix"] and not model["charsmap"] and not model["squeeze"]
@@ -208,7 +209,7 @@ class Codec:
         return self.tokenizer.decode_batch([[int(i) for i in x] for x in ids], skip_special_tokens=False)
 
 
-def _code(data: bytes, check: bool, threads: int | None):
+def _code(data: bytes, check: bool, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data, check, threads)
         for batch in batches:
@@ -221,7 +222,7 @@ def _code(data: bytes, check: bool, threads: int | None):
     return run
 
 
-def encode_documents(docs: DataFrame, model: bytes, carry: list[str] | None = None, check: bool = True, threads: int | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model: bytes, carry: list[str] | None = None, check: bool = True, threads: int = THREADS) -> DataFrame:
     """(row, ids, n_ids, round_trip, parity): ``row`` is a struct of the columns ``carry`` of ``docs`` (default: all).
 
     ``docs`` needs text.  ``ids`` are the whole text's ids, ``round_trip`` tells whether they decode to the very
