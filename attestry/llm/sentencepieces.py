@@ -1,7 +1,7 @@
 """Operator 1: SentencePiece encoding and decoding with the tokenizers library.
 
 The model file is parsed as a protobuf, and its normaliser, white-space marker, scores, merges and byte fallback are
-rebuilt as a ``tokenizers`` pipeline.  Texts are encoded batch by batch with all threads of the task's core share.
+rebuilt as a ``tokenizers`` pipeline.  Texts are encoded batch by batch with a few threads a task.
 """
 
 from __future__ import annotations
