@@ -1,7 +1,10 @@
+import random
 import sys
 
 import corpus_pipeline
 from attestry.llm import minhash, queries
+from tests.llm.conftest import sentence
+from tests.llm.test_minhash import brute, near_copies
 
 
 def test_stages_keep_clean_documents(spark, sf):
@@ -34,3 +37,24 @@ def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in entry.queries() and set(queries.ORACLES) <= set(names)
     assert "attestry.llm" in sys.modules
+
+
+def test_one_row_of_each_group_stays(spark, sf):
+    """Equal rows, rows of one doc_id with several texts and rows without a doc_id, against brute force on the rows."""
+    rng = random.Random(11)
+    a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (3, c), (None, d), (None, d), (None, e), (4, e), (5, ""), (5, ""), (None, None), (None, None)]
+    rows += [(rng.choice([None, 20 + i % 3, 30 + i]), t) for i, t in enumerate(t for _ in range(4) for t in near_copies(rng, 5))]
+    docs = spark.createDataFrame([(i, t, f"s{n % 2}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    groups = {}
+    for n, (size, group) in brute([(n, t) for n, (_, t) in enumerate(rows)]).items():
+        groups.setdefault(group if size else ("none", n), []).append(n)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert kept.columns == docs.columns and len(got) == len(groups)
+    least = {g: min((rows[n][0] is None, rows[n][0] or 0) for n in of) for g, of in groups.items()}
+    for g, of in groups.items():
+        assert any((str(rows[n][0]), str(rows[n][1])) in got for n in of if (rows[n][0] is None, rows[n][0] or 0) == least[g])
+    # the next stage cuts what still stands twice from end to end: one copy of each text has come through
+    left = [r.text for r in corpus_pipeline.repeated_passages(spark, kept, sf).collect()]
+    assert all(left.count(t) == 1 for t in (a, b, c, d, e))
