@@ -22,12 +22,12 @@ from attestry.llm.store import partitions, settle, small_batches
 
 WORDS = 5
 PERCENT = 85
-#: A pair at 85 % similarity shares no band with probability (1 - .85**5)**28 = 7e-8.
+#: A pair at 85 % similarity shares no band with probability (1 - .85**5)**28 = 7e-8, one at 80 % with 1.5e-5.
 BAND_ROWS = 5
 BANDS = 28
 #: Nodes of a cluster that one task compares at a time.
 BLOCK = 3000
-#: Coordinates, and the share of equal ones, under which a pair inside a block is not confirmed: seven standard errors below 0.85.
+#: Coordinates, and the share of equal ones, under which a pair inside a block is not confirmed: seven standard errors below 0.85, five below 0.80.
 SKETCH = 128
 SKETCH_LEAST = 0.62
 

@@ -15,6 +15,9 @@ from attestry.llm.queries import MODEL_PATH
 from attestry.llm.store import settle
 from attestry.session import load_table
 
+#: Percent of common shingles from which rows are near copies in the pipeline; op8's own contract has 85.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that importance resampling draws; all their columns stay as they are."""
@@ -23,13 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near copies, whatever their doc_ids; rows without words are in no group and stay.
+    """Keep one row of each group of near copies (``NEAR_PERCENT``), whatever their doc_ids; rows without words are in no group and stay.
 
     It is the row with the smallest doc_id; rows without a doc_id come last, and a hash of the row breaks ties.  Groups
     are made of rows, not of doc_ids: two texts of one doc_id are two documents here, so that neither takes the other along.
     """
     rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))  # written once, so that the numbers stay
-    groups = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
     id_ = F.col("doc_id").cast("long")
     rank = rows.select("_row", F.struct(id_.isNull().alias("unnamed"), id_.alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col("_row").alias("row")).alias("rank"))
     first = settle(groups.join(rank, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_row")))

@@ -58,3 +58,15 @@ def test_one_row_of_each_group_stays(spark, sf):
     # the next stage cuts what still stands twice from end to end: one copy of each text has come through
     left = [r.text for r in corpus_pipeline.repeated_passages(spark, kept, sf).collect()]
     assert all(left.count(t) == 1 for t in (a, b, c, d, e))
+
+
+def test_near_copies_link_from_four_fifths(spark, sf):
+    """Texts of w words that differ in the last k share w - 4 - k of w - 4 + k shingles."""
+    pairs = {0.85: (78, 6), 0.82: (104, 10), 0.80: (49, 5), 0.79: (89, 10)}  # 68/80, 90/110, 40/50, 75/95
+    rows = []
+    for n, (w, k) in enumerate(pairs.values()):
+        words = [f"w{n}x{i}" for i in range(w)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[:-k] + [f"y{n}x{i}" for i in range(k)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [0, 2, 4, 6, 7]
+    assert sorted(r.doc_id for r in minhash.near_duplicates(docs).where("kept").collect()) == [0, 2, 3, 4, 5, 6, 7]
