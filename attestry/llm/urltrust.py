@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.store import settle
+from attestry.llm.store import discard, settle
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
+#: Rounds before it is first asked whether the ranks have settled.
 ROUNDS = 12
-#: A host is blocked where its distrust exceeds its trust by more than this.
-MARGIN = 1e-9
+#: Ranks have settled when a round changes no host's trust or distrust by more than this share of it; a host just reached changes by all of it.
+SETTLED = 1e-7
+#: Changes under this are below what doubles can tell.
+TINY = 1e-300
+#: A host is blocked where its distrust exceeds its trust by more than this share of their sum; less is rounding.
+MARGIN = 1e-6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,21 +69,33 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
 
     ``seeds`` has host, trust, distrust (shares that sum to one); ``links`` has src, dst, n.  A host passes on its
     rank in proportion to n, trust along the links and distrust against them; a host without links keeps nothing.
+    Rounds follow each other, ``rounds`` at least, until no host's rank moves, however many hops it is from a seed.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
     back = links.groupBy("dst").agg(F.sum("n").alias("total"))
     flow = links.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("forth"), F.lit(0.0).alias("back"))
     flow = flow.unionByName(links.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("forth"), (F.col("n") / F.col("total")).alias("back")))
     flow = settle(flow)
-    rank = seeds
+    rank, step = seeds, 0
     if flow.isEmpty():
         return rank
-    for _ in range(rounds):
-        sent = flow.join(rank, "host").groupBy(F.col("to").alias("host")).agg(
+    zero = F.lit(0.0)
+    home = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"), zero.alias("trust_before"), zero.alias("distrust_before"))
+
+    def moves(name: str) -> Column:
+        return F.abs(F.col(name) - F.col(f"{name}_before")) > F.greatest(F.col(name) * SETTLED, F.lit(TINY))
+
+    while True:
+        step, last = step + 1, rank
+        sent = flow.join(last, "host").groupBy(F.col("to").alias("host")).agg(
             (F.sum(F.col("trust") * F.col("forth")) * damping).alias("trust"), (F.sum(F.col("distrust") * F.col("back")) * damping).alias("distrust"))
-        home = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-        rank = settle(sent.unionByName(home).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return rank
+        sent = sent.withColumns({"trust_before": zero, "distrust_before": zero}).unionByName(home)
+        sent = sent.unionByName(last.select("host", zero.alias("trust"), zero.alias("distrust"), F.col("trust").alias("trust_before"), F.col("distrust").alias("distrust_before")))
+        rank = settle(sent.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "trust_before", "distrust_before")]))
+        if step > 1:
+            discard(last)
+        if step >= rounds and rank.where(moves("trust") | moves("distrust")).isEmpty():
+            return rank.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
@@ -99,5 +116,5 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float =
     rank = propagate(seeds, settle(host_links(pages)), rounds, damping)
     out = ruled.drop("html").join(rank, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust - trust > MARGIN, "block").otherwise("allow")
+    own = F.when(distrust - trust > (distrust + trust) * MARGIN, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

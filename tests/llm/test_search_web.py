@@ -129,3 +129,19 @@ def test_trust_and_distrust_flow(spark):
             rank = new
         for r in got.values():
             assert r[name] == pytest.approx(rank.get(r.host, 0))
+
+
+def test_small_shares_and_long_ways_are_judged(spark):
+    """70,000 blocked pages, one of them of a host to which a host has one link of 2,001; a chain of 15 hosts behind it."""
+    a = "<a href='http://{}/'>x</a>"
+    rows = [(1, "http://seed.com/de/1", ""), (2, "http://many.net/", a.format("seed.com") * 2000), (3, "http://one.net/", a.format("seed.com"))]
+    rows += [(10 + i, f"http://h{i}.net/", a.format(f"h{i - 1}.net" if i else "one.net")) for i in range(15)]
+    rows += [(4, "http://good.org/", a.format("friend.net")), (5, "http://friend.net/", None), (6, "http://alone.net/", "")]
+    rest = spark.range(1000, 71_000).selectExpr("id as page_id", "concat('http://s', id % 7, '.com/de/', id) as url", "cast(null as string) as html")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").unionByName(rest)
+    got = {r.page_id: r for r in urltrust.judge(pages).where("page_id < 1000").collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, *range(10, 25)}
+    want = 0.15 / 70_001
+    for i, share in ((1, 1), (3, 1 / 2001), *((10 + i, 1) for i in range(15))):
+        want *= share * (0.85 if i > 1 else 1)
+        assert got[i].distrust == pytest.approx(want)
