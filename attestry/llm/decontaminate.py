@@ -2,7 +2,8 @@
 
 Words become lower-case letters; numbers, names and units become typed placeholders.  Windows of template words are
 hash-joined with the benchmark's, and on every alignment found the values behind the placeholders must map one to
-one, so that a question asked again with other numbers or names is caught and a chance likeness is not.
+one, so that a question asked again with other numbers or names is caught and a chance likeness is not.  Items whose
+template says too little (windows that are mostly placeholders, or passages without spaces) are matched verbatim as well.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from attestry.llm.store import settle
 WINDOW = 8
 #: Items of fewer template words are too short to be told from chance and match nothing.
 SHORTEST = 5
-#: A window needs this share of words that are not placeholders.
+#: A template window needs this share of words that are not placeholders; items with other windows are matched verbatim too.
 LITERAL = 0.5
 #: Share of an item's windows that a contaminated text holds.
 COVERAGE = 0.5
 NUMBER, NAME, UNIT = "#", "$", "@"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Scripts written without spaces: each letter is a token.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 UNITS = (
     "percent", "mm", "cm", "m", "km", "metre", "metres", "meter", "meters", "mile", "miles", "inch", "inches", "foot", "feet", "yard", "yards",
     "mg", "g", "kg", "gram", "grams", "tonne", "tonnes", "pound", "pounds", "ounce", "ounces", "ml", "l", "litre", "litres", "liter", "liters",
@@ -34,6 +37,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
+def tokens_of(text: Column) -> Column:
+    """The lower-cased runs of letters and digits of a text, each letter of an unspaced script by itself; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]+)"), 1)
+
+
 def template_of(words: Column) -> Column:
     """The template word of each word; a name is a capitalised word that does not begin a sentence."""
 
@@ -75,12 +83,52 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.join(total, "item_id").select("item_id", "item_words", "item_template", "q", "length", "h", "n_windows")
 
 
+def literal_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, item_tokens, q, length, h, n_windows): all token windows of the items that templates serve in part or not at all."""
+    text = F.col("text").cast("string")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text).alias("words"), tokens_of(text).alias("item_tokens")).where("item_id is not null")
+    items = items.withColumn("template", template_of(F.col("words"))).withColumn("n", F.size("template"))
+    length = F.least(F.col("n"), F.lit(window))
+
+    def weak(q: Column) -> Column:
+        return F.size(F.filter(F.slice("template", q, length), lambda c: ~c.isin(NUMBER, NAME, UNIT))) < length * LITERAL
+
+    unserved = (F.col("n") < SHORTEST) | F.exists(F.sequence(F.lit(1), F.col("n") - length + 1), weak)
+    items = items.where(unserved & (F.size("item_tokens") >= SHORTEST)).select("item_id", "item_tokens").distinct()
+    out = items.withColumn("length", F.least(F.size("item_tokens"), F.lit(window)))
+    out = out.withColumn("q", F.explode(F.sequence(F.lit(1), F.size("item_tokens") - F.col("length") + 1)))
+    out = out.withColumn("h", F.xxhash64(F.transform(F.slice("item_tokens", F.col("q"), F.col("length")), lambda c: F.xxhash64(c))))
+    total = out.groupBy("item_id").agg(F.countDistinct("q").alias("n_windows"))
+    return out.join(total, "item_id").select("item_id", "item_tokens", "q", "length", "h", "n_windows")
+
+
+def literal_shares(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame | None:
+    """(k1, k2, item_id, share) of the items' windows that stand verbatim in a text (columns k1, k2, text); None if no item needs it."""
+    items = settle(literal_windows(benchmark, window))
+    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    if not lengths:
+        return None
+    hashed = docs.select("k1", "k2", tokens_of(F.col("text")).alias("tokens")).withColumn("hashes", F.transform("tokens", lambda c: F.xxhash64(c)))
+    spots = F.concat(*[_windows(F.col("tokens"), F.col("hashes"), n) for n in lengths])
+    cells = hashed.select("k1", "k2", F.explode(spots).alias("w")).select("k1", "k2", "w.p", "w.length", "w.h")
+    found = settle(cells.join(items.select("item_id", "q", "length", "h"), ["h", "length"]).select("k1", "k2", "item_id", "p", "q", "length").distinct())
+    held = found.select("k1", "k2").distinct().hint("merge").join(docs, ["k1", "k2"])
+    held = held.groupBy("k1", "k2").agg(F.min("text").alias("text")).select("k1", "k2", tokens_of(F.col("text")).alias("tokens"))
+    texts = items.select("item_id", "item_tokens", "n_windows").distinct()
+    spots = found.groupBy("k1", "k2", "item_id").agg(F.collect_set(F.struct("p", "q", "length")).alias("spots")).join(held, ["k1", "k2"]).join(texts, "item_id")
+    same = lambda r: F.slice("tokens", r["p"], r["length"]) == F.slice("item_tokens", r["q"], r["length"])
+    spots = spots.select("k1", "k2", "item_id", "n_windows", F.explode(F.filter("spots", same)["q"]).alias("q"))
+    return spots.groupBy("k1", "k2", "item_id").agg((F.countDistinct("q") / F.first("n_windows")).alias("share"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, best_coverage) of each row of ``docs`` (columns doc_id, text).
 
     A text is contaminated by an item (columns item_id, text) if at least ``coverage`` of the item's windows stand in
-    it on alignments whose placeholders map one to one.  Null and empty texts hold nothing; a null item_id or an
-    item of fewer than ``SHORTEST`` words matches nothing; rows of one item_id with different texts count as one
+    it on alignments whose placeholders map one to one.  Items with windows that are mostly placeholders, and items of
+    fewer than ``SHORTEST`` words but as many tokens (an unspaced passage), also count by the share of their token
+    windows that stand in the text verbatim.  Null and empty texts hold nothing; a null item_id or an item of fewer
+    than ``SHORTEST`` words and tokens matches nothing; rows of one item_id with different texts count as one
     item.  Equal rows come back as often as they came, and an empty table gives an empty result.
     """
     keys = [F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")]
@@ -117,6 +165,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     clash = clash.unionByName(slots.groupBy(*line, "kind", "given").count().where("count > 1").select(*line)).distinct()
     sound = runs.join(clash, line, "left_anti")
     scored = sound.groupBy("k1", "k2", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("qs")))) / F.first("n_windows")).alias("share"))
+    verbatim = literal_shares(docs.select(*keys, "text"), benchmark, window)
+    if verbatim is not None:
+        scored = scored.unionByName(verbatim).groupBy("k1", "k2", "item_id").agg(F.max("share").alias("share"))
     flagged = scored.groupBy("k1", "k2").agg(
         F.max("share").alias("best_coverage"),
         F.array_sort(F.collect_list(F.when(F.col("share") >= coverage, F.col("item_id")))).alias("item_ids"))

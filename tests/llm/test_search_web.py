@@ -68,6 +68,20 @@ def test_decontamination_odd_rows(odd_docs, spark):
     assert len(out) == odd_docs.count() and {r.doc_id for r in out if r.contaminated} == {1}
 
 
+def test_items_without_literal_windows_match_verbatim(spark):
+    names = "List the rivers Donau Rhein Elbe Oder Weser Main Neckar Mosel Saar Isar Inn Lech Iller Spree Havel"
+    shout = "WHICH OF THESE SENTENCES IS WRITTEN IN CAPITALS FROM ITS BEGINNING TO ITS END"
+    sums = "12 + 30 = 42 7 * 6 = 42 50 - 8 = 42 84 / 2 = 42"
+    passage = "昔々あるところにおじいさんとおばあさんが住んでいました"
+    bench = spark.createDataFrame([(1, names), (2, shout), (3, sums), (4, passage), (5, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, f"so {names.lower()} and more"), (2, f"It says: {shout}, or so."), (3, f"We have {sums} here"), (4, f"これは物語です。{passage}。終わり"),
+        (5, "List the rivers Seine Loire Rhone Garonne Marne Oise Aisne Somme Meuse Yonne Cher Indre Vienne Creuse Allier"),
+        (6, "山へ柴刈りに行きました。川へ洗濯に行きました。"), (7, "two words"), (8, sums.replace("42", "43")), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [], 8: [], 9: []}
+
+
 PAGE = (
     "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li>a<li>b</ul></nav><div class='ad'>buy</div>"
     "<article><h1>Head&amp;Tail</h1><p><b>One<br>two<p>Thr&eacute;e &#65;</p><div class='share-box'>share</div><script>var x='<p>no</p>';</script></article>"
