@@ -1,10 +1,10 @@
-"""The ten registered operator queries and the pipeline, with SQL where SQL can state them."""
+"""The registered operator queries and the pipeline, with SQL where SQL can state them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import decontaminate, htmltext, langid, maxscore, minhash, resample, sentencepieces, suffixdedup, toxicity, urltrust
+from attestry.llm import decontaminate, digests, htmltext, langid, maxscore, minhash, resample, sentencepieces, suffixdedup, toxicity, urltrust
 from attestry.session import load_table
 
 #: The model file of the SentencePiece queries.
@@ -160,3 +160,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_html_extraction")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(load_table(spark, sf_dir, "pages"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents),
+g AS (SELECT *, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_id
+      FROM d WINDOW w AS (PARTITION BY h ORDER BY chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, r = 1 AS kept, h AS text_sha256 FROM g
+"""
+
+
+@register("op12_exact_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.deduplicate(load_table(spark, sf_dir, "documents")).drop("known")

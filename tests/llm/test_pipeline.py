@@ -34,7 +34,7 @@ def test_every_operator_has_one_query():
     import __spark_entry__ as entry
 
     names = [q for q in entry.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ORACLES) <= set(names)
     assert "attestry.llm" in sys.modules
 
@@ -47,7 +47,7 @@ def test_one_row_of_each_group_stays(spark, sf):
     rows += [(rng.choice([None, 20 + i % 3, 30 + i]), t) for i, t in enumerate(t for _ in range(4) for t in near_copies(rng, 5))]
     docs = spark.createDataFrame([(i, t, f"s{n % 2}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
     groups = {}
-    for n, (size, group) in brute([(n, t) for n, (_, t) in enumerate(rows)]).items():
+    for n, (size, group) in brute([(n, t) for n, (_, t) in enumerate(rows)], corpus_pipeline.NEAR_PERCENT).items():
         groups.setdefault(group if size else ("none", n), []).append(n)
     kept = corpus_pipeline.near_duplicates(spark, docs, sf)
     got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
