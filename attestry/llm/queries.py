@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, digests, htmltext, langid, maxscore, minhash, resample, sentencepieces, suffixdedup, toxicity, urltrust
+from attestry.llm import decontaminate, digests, htmltext, langid, maxscore, minhash, resample, runs, sentencepieces, suffixdedup, toxicity, urltrust
 from attestry.session import load_table
 
 #: The model file of the SentencePiece queries.
@@ -173,3 +174,40 @@ SELECT doc_id, keep_id, group_size, r = 1 AS kept, h AS text_sha256 FROM g
 @register("op12_exact_dedup", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.deduplicate(load_table(spark, sf_dir, "documents")).drop("known")
+
+
+# CRC-32 bit by bit.  A diagonal of lag q >= 2 that makes a run holds the same six words q apart: equal blocks of six are
+# put together to stretches, and a stretch is a run if no smaller period gives the same one.
+OP13_SQL = r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                  flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(0, 8), lambda k: CAST((ascii(c) >> k) & 1 AS BIGINT)))) AS bits
+           FROM documents),
+c AS (SELECT r, doc_id, w, len(w) AS n,
+             xor(list_reduce(list_prepend(4294967295, bits), lambda x, y: xor(xor(x, y) >> 1, CASE WHEN xor(x, y) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) AS h FROM b),
+g AS (SELECT r, doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 END AS g FROM c),
+e AS (SELECT r, doc_id, w, n, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM g),
+t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM e),
+v AS MATERIALIZED (SELECT r, i, w[i + 1] AS word, CASE WHEN i + 6 <= n THEN array_to_string(w[i + 1 : i + 6], ' ') END AS six
+                   FROM (SELECT r, n, w, unnest(range(0, n)) AS i FROM t)),
+q AS (SELECT x.r, x.i - y.i AS q, x.i, 6 AS wide FROM v x JOIN v y ON x.r = y.r AND x.six = y.six AND x.i > y.i + 1
+      UNION ALL SELECT r, 1, i, 1 FROM (SELECT r, i, word = lag(word) OVER (PARTITION BY r ORDER BY i) AS same FROM v) WHERE same),
+j AS (SELECT r, q, wide, min(i) - q AS s, max(i) - min(i) + wide + q AS m
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM q) GROUP BY r, q, wide, island),
+k AS MATERIALIZED (SELECT r, s, m, min(q) AS q FROM j WHERE m >= greatest(6, 4 * q) GROUP BY r, s, m),
+f AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS listing FROM k GROUP BY r),
+l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY r ORDER BY m DESC, s, q) = 1),
+o AS (SELECT DISTINCT r, unnest(range(s + q, s + m)) AS i FROM k),
+z AS (SELECT v.r, string_agg(word, ' ' ORDER BY v.i) AS left_text FROM v ANTI JOIN o ON o.r = v.r AND o.i = v.i GROUP BY v.r)
+SELECT t.doc_id, coalesce(f.n_runs, 0) AS n_runs, CAST(l.s AS BIGINT) AS start, CAST(l.m AS BIGINT) AS length, CAST(l.q AS BIGINT) AS period,
+       CAST(1000 * l.m // l.q AS BIGINT) AS exponent_milli, sha256(coalesce(f.listing, '')) AS runs_sha256, sha256(coalesce(z.left_text, '')) AS collapsed_sha256
+FROM t LEFT JOIN f ON f.r = t.r LEFT JOIN l ON l.r = t.r LEFT JOIN z ON z.r = t.r
+"""
+
+
+@register("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(load_table(spark, sf_dir, "documents"), carry=["doc_id"], change=runs.cycled, keep_text=False)
+    best = F.col("longest")
+    return out.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
