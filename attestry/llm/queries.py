@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontaminate, digests, htmltext, langid, maxscore, minhash, resample, runs, sentencepieces, suffixdedup, toxicity, urltrust
+from attestry.llm import collocations, decontaminate, digests, htmltext, langid, maxscore, minhash, resample, runs, sentencepieces, suffixdedup, toxicity, urltrust
 from attestry.session import load_table
 
 #: The model file of the SentencePiece queries.
@@ -211,3 +211,29 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "row.doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
         F.expr("1000 * longest.length div longest.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
+f AS MATERIALIZED (SELECT lang, n, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, n, phrase HAVING count(*) >= 10),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+k AS (SELECT lang, n, phrase, f AS a, unnest(range(1, n)) AS k, w FROM f WHERE n > 1),
+c AS (SELECT k.lang, k.n, k.phrase, k.a, k.k, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1 : k.k], ' ')
+             JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1 : k.n], ' ')),
+s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, array_to_string(w[1 : 2], ' ') AS phrase FROM f WHERE n = 3
+                                             UNION ALL SELECT lang, f, array_to_string(w[2 : 3], ' ') FROM f WHERE n = 3) GROUP BY lang, phrase),
+x AS (SELECT s.* FROM s LEFT JOIN o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * s.a),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x)
+SELECT y.lang, y.rank, y.phrase, y.a, y.l, y.r, CAST(t.n AS BIGINT) AS n, y.score FROM y JOIN t ON t.lang = y.lang WHERE rank <= 2000
+"""
+
+
+@register("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load_table(spark, sf_dir, "documents"))
