@@ -3,8 +3,8 @@
 Every n-gram of every text gets a fingerprint from prefix polynomials over the codes of its words.  Tasks count the
 fingerprints of a batch of texts, with the row where each stands; the shuffle brings equal fingerprints together, as
 packed blocks of sorted ones rather than a row each.  Only fingerprints that reach the least frequency go on: their
-phrases are read from the rows they point to.  A fingerprint that stands for several phrases shows by its second
-polynomial, or by the text of its first and last row; the phrases of such fingerprints are counted in the texts.
+phrases are read from the rows they point to.  A fingerprint that stands for several phrases shows by 16 bits
+of a second polynomial, or by the text of its first and last row; the phrases of such fingerprints are counted in the texts.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ NO_LANGUAGE = "und"
 BITS = 64
 #: Fingerprints of a block of all batches together, on average and at most: what one group of the merge holds.
 BLOCK = 2_000_000
+#: Different fingerprints a task holds before it packs them, at about 30 bytes each.
+HELD = 3_000_000
 #: Bytes of text whose n-grams are held at a time; a longer text is cut where a piece ends.
-PORTION = 8 << 20
+PORTION = 2 << 20
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
 
@@ -109,7 +111,7 @@ class Grams:
                 out.append(mix64((c[here + n] - c[here]) * inverse[here] + seeds[self.text[here]] + np.uint64(n)))
         self.at, self.size = np.concatenate(at), np.concatenate(size)
         self.print = np.concatenate(prints[0]) >> np.uint64(64 - bits) << np.uint64(64 - bits)
-        self.check = (np.concatenate(prints[1]) >> np.uint64(32)).astype(np.uint32)
+        self.check = (np.concatenate(prints[1]) >> np.uint64(48)).astype(np.uint16)
 
     def phrase(self, j: int) -> bytes:
         return b" ".join(self.words[self.at[j] : self.at[j] + int(self.size[j])])
@@ -144,12 +146,20 @@ def _count_batches(blocks: int, most: int, bits: int):
     """
     shift = np.uint64(64 - (blocks.bit_length() - 1))
 
-    def packed(rows: np.ndarray, grams: Grams) -> pa.RecordBatch:
-        order = np.argsort(grams.print, kind="stable")
+    def entries(rows: np.ndarray, grams: Grams) -> tuple[np.ndarray, ...]:
+        """Sorted fingerprints of a portion with the least and greatest check value, count and first row."""
+        order = np.argsort(grams.print)
         key, check, row = grams.print[order], grams.check[order], rows[grams.text[grams.at[order]]]
         at = _groups(key)
-        count, low, key = np.diff(np.append(at, len(key))), np.minimum.reduceat(row, at), key[at]
-        least, check = np.minimum.reduceat(check, at), np.maximum.reduceat(check, at)
+        return key[at], np.minimum.reduceat(check, at), np.maximum.reduceat(check, at), np.diff(np.append(at, len(key))), np.minimum.reduceat(row, at)
+
+    def packed(base: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, least, check, count, low = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(key)
+        at = _groups(key[order])
+        key, count, low = key[order[at]], np.add.reduceat(count[order], at), np.minimum.reduceat(low[order], at)
+        least, check = np.minimum.reduceat(least[order], at), np.maximum.reduceat(check[order], at)
         clash = least != check
         if clash.any():
             twice = np.sort(np.concatenate([np.arange(len(key)), np.flatnonzero(clash)]))
@@ -158,7 +168,6 @@ def _count_batches(blocks: int, most: int, bits: int):
             check = np.where(second, least[twice], check[twice])
         part = (key >> shift).astype(np.int64) if blocks > 1 else np.zeros(len(key), dtype=np.int64)
         edges = np.append(_groups(part), len(key)).tolist()
-        base = int(rows.min())
         wide_count, wide_row = np.min_scalar_type(int(count.max())).type, np.min_scalar_type(int(low.max()) - base).type
         columns = [key, check, count.astype(wide_count), (low - base).astype(wide_row)]
         n = len(edges) - 1
@@ -167,20 +176,29 @@ def _count_batches(blocks: int, most: int, bits: int):
             *[pa.array([_planes(c[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for c in columns]], _BLOCK_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        base = held = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             rows, langs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            total: dict[str, int] = {}
             for portion, owner in portions(batch.column(2).to_pylist()):
                 grams = Grams(portion, owner, langs, most, bits)
-                if len(grams.at):
-                    yield packed(rows, grams)
                 for i in np.flatnonzero(grams.n_words).tolist():
                     total[langs[i]] = total.get(langs[i], 0) + int(grams.n_words[i])
-            block, none = -1 - int(rows[0]) % blocks, pa.nulls(len(total), pa.binary())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block] * len(total), pa.int64()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), none, none, none, none], _BLOCK_NAMES)
+                if not len(grams.at):
+                    continue
+                parts.append(entries(rows, grams))
+                base = min(base, int(rows.min())) if held else int(rows.min())
+                held += len(parts[-1][0])
+                if held > HELD:
+                    yield packed(base, parts)
+                    held = 0
+        if parts:
+            yield packed(base, parts)
+        # any block will do: the sums of a language meet in a grouping of their own
+        block, none = -1 - base % blocks, pa.nulls(len(total), pa.binary())
+        yield pa.RecordBatch.from_arrays([
+            pa.array([block] * len(total), pa.int64()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), none, none, none, none], _BLOCK_NAMES)
 
     return run
 
@@ -209,7 +227,7 @@ def _merge_block(least: int):
         for i, (prints, check, count, row) in enumerate(zip(*[table.column(c) for c in ("prints", "checks", "counts", "rows")], strict=True)):
             keys.append(_unplanes(prints.as_py(), np.uint64))
             n = len(keys[-1])
-            checks.append(_unplanes(check.as_py(), np.uint32))
+            checks.append(_unplanes(check.as_py(), np.uint16))
             counts.append(_unsigned(count.as_py(), n))
             rows.append(_unsigned(row.as_py(), n) + start[i])
         key = np.concatenate(keys)
@@ -241,8 +259,9 @@ def _read_phrases(most: int, bits: int):
                 grams = Grams(portion, owner, langs, most, bits)
                 text = grams.text[grams.at]
                 order = np.argsort(text, kind="stable")
+                bounds = np.searchsorted(text, np.arange(len(langs) + 1), sorter=order)
                 for i in set(owner):
-                    mine = order[np.searchsorted(text[order], i) : np.searchsorted(text[order], i, "right")]
+                    mine = order[bounds[i] : bounds[i + 1]]
                     for j in mine[np.isin(grams.print[mine], asked[i])].tolist():
                         found[(langs[i], int(grams.size[j]), int(grams.print[j]), grams.phrase(j))] = None
             yield _rows_of(found, _PHRASE_NAMES)
