@@ -3,7 +3,7 @@
 Every n-gram of every text gets a fingerprint from prefix polynomials over the codes of its words.  Tasks count the
 fingerprints of a batch of texts, with the row where each stands; the shuffle brings equal fingerprints together, as
 packed blocks of sorted ones rather than a row each.  Only fingerprints that reach the least frequency go on: their
-phrases are read from the rows they point to.  A fingerprint that stands for several phrases shows by 16 bits
+phrases are read from the rows they point to.  A fingerprint that stands for several phrases shows by eight bits
 of a second polynomial, or by the text of its first and last row; the phrases of such fingerprints are counted in the texts.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.bytehash import mix64
-from attestry.llm.store import discard, partitions, settle, small_batches
+from attestry.llm.store import discard, partitions, release, settle, small_batches
 
 #: Words of a phrase, at most.
 WORDS = 3
@@ -33,10 +33,12 @@ NO_LANGUAGE = "und"
 BITS = 64
 #: Fingerprints of a block of all batches together, on average and at most: what one group of the merge holds.
 BLOCK = 2_000_000
-#: Different fingerprints a task holds before it packs them, at about 30 bytes each.
+#: Different fingerprints a task holds before it packs them, at 22 bytes each.
 HELD = 3_000_000
+#: Ranges of blocks in which they are packed, one after the other.
+STEPS = 16
 #: Bytes of text whose n-grams are held at a time; a longer text is cut where a piece ends.
-PORTION = 2 << 20
+PORTION = 1 << 20
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
 
@@ -111,7 +113,7 @@ class Grams:
                 out.append(mix64((c[here + n] - c[here]) * inverse[here] + seeds[self.text[here]] + np.uint64(n)))
         self.at, self.size = np.concatenate(at), np.concatenate(size)
         self.print = np.concatenate(prints[0]) >> np.uint64(64 - bits) << np.uint64(64 - bits)
-        self.check = (np.concatenate(prints[1]) >> np.uint64(48)).astype(np.uint16)
+        self.check = (np.concatenate(prints[1]) >> np.uint64(56)).astype(np.uint8)
 
     def phrase(self, j: int) -> bytes:
         return b" ".join(self.words[self.at[j] : self.at[j] + int(self.size[j])])
@@ -151,11 +153,20 @@ def _count_batches(blocks: int, most: int, bits: int):
         order = np.argsort(grams.print)
         key, check, row = grams.print[order], grams.check[order], rows[grams.text[grams.at[order]]]
         at = _groups(key)
-        return key[at], np.minimum.reduceat(check, at), np.maximum.reduceat(check, at), np.diff(np.append(at, len(key))), np.minimum.reduceat(row, at)
-
-    def packed(base: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, least, check, count, low = (np.concatenate(c) for c in zip(*parts, strict=True))
-        parts.clear()
+        return (key[at], np.minimum.reduceat(check, at), np.maximum.reduceat(check, at), np.diff(np.append(at, len(key))).astype(np.int32),
+                np.minimum.reduceat(row, at))
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The parts merged, a range of blocks at a time."""
+        step = max(1, blocks // STEPS)
+        for lowest in range(0, blocks, step):
+            ends = [np.uint64(lowest << int(shift)), np.uint64(min((lowest + step << int(shift)) - 1, (1 << 64) - 1))] if blocks > 1 else [np.uint64(0), ~np.uint64(0)]
+            cuts = [slice(np.searchsorted(p[0], ends[0]), np.searchsorted(p[0], ends[1], "right")) for p in parts]
+            if any(c.stop > c.start for c in cuts):
+                yield merged([np.concatenate([p[j][c] for p, c in zip(parts, cuts, strict=True)]) for j in range(5)])
+
+    def merged(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, least, check, count, low = columns
         order = np.argsort(key)
         at = _groups(key[order])
         key, count, low = key[order[at]], np.add.reduceat(count[order], at), np.minimum.reduceat(low[order], at)
@@ -168,6 +179,7 @@ def _count_batches(blocks: int, most: int, bits: int):
             check = np.where(second, least[twice], check[twice])
         part = (key >> shift).astype(np.int64) if blocks > 1 else np.zeros(len(key), dtype=np.int64)
         edges = np.append(_groups(part), len(key)).tolist()
+        base = int(low.min())
         wide_count, wide_row = np.min_scalar_type(int(count.max())).type, np.min_scalar_type(int(low.max()) - base).type
         columns = [key, check, count.astype(wide_count), (low - base).astype(wide_row)]
         n = len(edges) - 1
@@ -178,9 +190,10 @@ def _count_batches(blocks: int, most: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
         parts: list[tuple[np.ndarray, ...]] = []
-        base = held = 0
+        held = first = 0
         for batch in batches:
             rows, langs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            first = int(rows[0]) if batch.num_rows else first
             for portion, owner in portions(batch.column(2).to_pylist()):
                 grams = Grams(portion, owner, langs, most, bits)
                 for i in np.flatnonzero(grams.n_words).tolist():
@@ -188,15 +201,15 @@ def _count_batches(blocks: int, most: int, bits: int):
                 if not len(grams.at):
                     continue
                 parts.append(entries(rows, grams))
-                base = min(base, int(rows.min())) if held else int(rows.min())
+                del grams
                 held += len(parts[-1][0])
                 if held > HELD:
-                    yield packed(base, parts)
-                    held = 0
+                    yield from packed(parts)
+                    parts, held = [], 0
         if parts:
-            yield packed(base, parts)
+            yield from packed(parts)
         # any block will do: the sums of a language meet in a grouping of their own
-        block, none = -1 - base % blocks, pa.nulls(len(total), pa.binary())
+        block, none = -1 - first % blocks, pa.nulls(len(total), pa.binary())
         yield pa.RecordBatch.from_arrays([
             pa.array([block] * len(total), pa.int64()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), none, none, none, none], _BLOCK_NAMES)
 
@@ -227,7 +240,7 @@ def _merge_block(least: int):
         for i, (prints, check, count, row) in enumerate(zip(*[table.column(c) for c in ("prints", "checks", "counts", "rows")], strict=True)):
             keys.append(_unplanes(prints.as_py(), np.uint64))
             n = len(keys[-1])
-            checks.append(_unplanes(check.as_py(), np.uint16))
+            checks.append(_unplanes(check.as_py(), np.uint8))
             counts.append(_unsigned(count.as_py(), n))
             rows.append(_unsigned(row.as_py(), n) + start[i])
         key = np.concatenate(keys)
@@ -315,6 +328,8 @@ def frequent_phrases(docs: DataFrame, most: int = WORDS, least: int = LEAST, bit
     blocks = min(1 << (blocks - 1).bit_length(), 1 << bits)
     counted = rows.select("row", "lang", "text").mapInArrow(_count_batches(blocks, most, bits), _BLOCKS)
     merged = settle(counted.groupBy("block").applyInArrow(_merge_block(least), _FREQUENT))
+    del counted
+    release(spark)  # the blocks' shuffle files have served
     totals = merged.where("print is null").groupBy("lang").agg(F.sum("f").alias("n_words"))
     frequent = merged.where("print is not null").drop("lang")
 
