@@ -47,29 +47,39 @@ def number_match(keywords: Column, text: Column) -> Column:
     return share_contained(F.transform(numeric, lambda k: F.lower(k)), F.lower(text))
 
 
-def keyword_relevance(keywords: Column, text: Column, text_ngrams: Column | None = None, partial: Column | None = None) -> Column:
-    """R13. Weighted keyword relevance of one (query, text) pair.
+def keyword_parts(keywords: Column, text: Column, text_ngrams: Column | None = None) -> Column:
+    """R13. What the relevance of a (query, text) pair is made of: struct(n, exact, gram, num, bonus).
 
-    ``text_ngrams`` lets the caller compute a document's bigrams once and share them over queries;
-    ``partial`` is the share of keywords with only a partial or fuzzy match (R14).
-    """
+    ``text_ngrams`` lets the caller compute a document's bigrams once and share them over queries."""
     low = F.lower(text)
     kws = F.transform(keywords, lambda k: F.lower(k))
     joined = F.array_join(kws, " ")
     grams_b = char_ngrams(low) if text_ngrams is None else text_ngrams
-    exact = share_contained(kws, low)
-    part = F.lit(0.0) if partial is None else partial
-    gram = jaccard(char_ngrams(joined), grams_b)
-    bonus = F.least(F.length(joined) / F.lit(20.0), F.lit(0.1))
+    return F.struct(
+        F.size(keywords).alias("n"), share_contained(kws, low).alias("exact"), jaccard(char_ngrams(joined), grams_b).alias("gram"),
+        number_match(keywords, text).alias("num"), F.least(F.length(joined) / F.lit(20.0), F.lit(0.1)).alias("bonus"))
+
+
+def missing_keywords(keywords: Column, text: Column) -> Column:
+    """The lower-case keywords that the text does not hold, as often as they come in different cases."""
+    both = F.struct(F.transform(keywords, lambda k: F.lower(k)).alias("k"), F.lower(text).alias("t"))
+    return let(both, lambda b: F.filter(b["k"], lambda k: ~b["t"].contains(k)))
+
 
+def keyword_score(parts: Column, partial: Column) -> Column:
+    """R13. Weighted sum of the parts; ``partial`` is the share of keywords with only a partial or fuzzy match."""
     def combine(m: Column) -> Column:
-        ex, pa, gr = m["exact"], m["part"], m["gram"]
-        total = ex * 0.4 + pa * 0.25 + gr * 0.25 + m["num"] * 0.1 + bonus
+        ex, pa, gr = m["p"]["exact"], m["partial"], m["p"]["gram"]
+        total = ex * 0.4 + pa * 0.25 + gr * 0.25 + m["p"]["num"] * 0.1 + m["p"]["bonus"]
         floored = F.when((gr > 0.05) | (pa > 0) | (ex > 0), F.greatest(total, F.lit(0.1))).otherwise(total)
-        return F.least(floored, F.lit(1.0))
+        return F.when(m["p"]["n"] == 0, 0.2).otherwise(F.least(floored, F.lit(1.0)))
 
-    parts = F.struct(exact.alias("exact"), part.alias("part"), gram.alias("gram"), number_match(keywords, text).alias("num"))
-    return F.when(F.size(keywords) == 0, 0.2).otherwise(let(parts, combine))
+    return let(F.struct(parts.alias("p"), partial.alias("partial")), combine)
+
+
+def keyword_relevance(keywords: Column, text: Column, text_ngrams: Column | None = None, partial: Column | None = None) -> Column:
+    """R13. Weighted keyword relevance of one (query, text) pair."""
+    return keyword_score(keyword_parts(keywords, text, text_ngrams), F.lit(0.0) if partial is None else partial)
 
 
 def content_similarity_normed(na: Column, nb: Column, wb: Column | None = None) -> Column:

@@ -87,7 +87,8 @@ def extract_keywords(c: Column, script: str = "any") -> Column:
         latin = F.filter(find_all(c, "[a-zA-Z][a-zA-Z0-9]*"), lambda t: F.length(t) >= 2)
         return F.array_distinct(F.concat(numbers, refs, content, latin))
     content = F.filter(find_all(c, r"\p{L}{2,}"), lambda t: F.length(t) >= 4)
-    return F.array_distinct(F.concat(numbers, refs, content))
+    latin = F.filter(find_all(c, r"\p{IsLatin}[\p{IsLatin}0-9]*"), lambda t: F.length(t) >= 2)
+    return F.array_distinct(F.concat(numbers, refs, content, latin))
 
 
 def char_ngrams(c: Column, n: int = 2) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.similarity import keyword_relevance
+from attestry.functions.similarity import keyword_parts, keyword_score, missing_keywords
 from attestry.functions.tokens import char_ngrams, extract_keywords
+from attestry.operators.fuzzyjoin import chunk_words, keyword_links, linked_keywords, posting_words
 from attestry.operators.lexical import top_k
 from attestry.params import Params
-from attestry.scale import spread
+from attestry.scale import cut_lineage, spread
 
 
 def rrf(lists: Sequence[DataFrame], weights: Sequence[float] = (Params.w_bm25, Params.w_vector), k: int = Params.rrf_k) -> DataFrame:
@@ -31,16 +32,29 @@ def rrf(lists: Sequence[DataFrame], weights: Sequence[float] = (Params.w_bm25, P
     )
 
 
-def with_keyword_relevance(hits: DataFrame, queries: DataFrame, chunks: DataFrame, script: str = "any") -> DataFrame:
-    """R13 for a hit table. Only chunks that some query hit are touched; their bigrams are computed once per
-    chunk and shared by all queries that hit it."""
+def with_keyword_relevance(
+    hits: DataFrame, queries: DataFrame, chunks: DataFrame, script: str = "any", postings: DataFrame | None = None, links: DataFrame | None = None
+) -> DataFrame:
+    """R13 for a hit table, with the partial matches of R14.
+
+    Only chunks that some query hit are touched; their bigrams are computed once per chunk and shared by all queries
+    that hit it.  Keywords a text does not hold go on without the text: ``links`` (``keyword_links`` of the keywords and
+    the vocabulary; built here if not given) names the words that would do, ``postings`` tells which chunk has them."""
     kws = queries.select("query_id", extract_keywords(F.col("text"), script).alias("_kw"))
+    touched = chunks.join(hits.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "text")
     # The bigrams are CPU work on the candidates only; hashing them by chunk spreads it and serves the join.
-    texts = spread(chunks.join(hits.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "text"), "chunk_id").select(
-        "chunk_id", F.col("text").alias("_text"), char_ngrams(F.lower(F.col("text"))).alias("_grams")
-    )
-    rel = F.round(keyword_relevance(F.col("_kw"), F.col("_text"), F.col("_grams")), 6)
-    return hits.join(kws, "query_id").join(texts, "chunk_id").withColumn("keyword_relevance", rel).drop("_kw", "_text", "_grams")
+    texts = spread(touched, "chunk_id").select("chunk_id", F.col("text").alias("_text"), char_ngrams(F.lower(F.col("text"))).alias("_grams"))
+    measured = cut_lineage(hits.join(kws, "query_id").join(texts, "chunk_id").select(
+        *hits.columns, keyword_parts(F.col("_kw"), F.col("_text"), F.col("_grams")).alias("_parts"),
+        missing_keywords(F.col("_kw"), F.col("_text")).alias("_missing")))
+    missing = measured.select("query_id", "chunk_id", F.explode("_missing").alias("keyword"))
+    words = chunk_words(touched, script) if postings is None else posting_words(postings, touched, script)
+    if links is None:
+        links = keyword_links(kws.select(F.explode(F.transform("_kw", lambda k: F.lower(k))).alias("keyword")), words.select("word").distinct())
+    found = missing.join(linked_keywords(missing, links, words), ["chunk_id", "keyword"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.coalesce(F.col("_n"), F.lit(0)) / F.greatest(F.col("_parts.n"), F.lit(1))
+    out = measured.join(found, ["query_id", "chunk_id"], "left")
+    return out.select(*hits.columns, F.round(keyword_score(F.col("_parts"), share), 6).alias("keyword_relevance"))
 
 
 def _weighted(a: Column, wa: float, b: Column, wb: float) -> Column:

@@ -1,24 +1,33 @@
 """Blocked fuzzy similarity join (FZ) and partial keyword matches.
 
-Candidates come from an exact prefix filter, so no pair at or above the threshold is lost: two strings whose
-longest common subsequence has at least ``o`` characters share k of the first ``m - o + k`` characters of either
-(characters are numbered by occurrence, and sorted so that high occurrence numbers come first).
+Candidates lose no pair at or above the threshold.  Short strings under ``ratio`` and ``token_sort`` share a segment:
+a ratio of at least s allows d insertions and deletions, each of which breaks one segment at most, so of the d + 1
+segments of one string one stands in the other, shifted by no more than the edits before it.  Long strings and the other
+methods use a prefix filter: two strings whose longest common subsequence has at least ``o`` characters share k of the
+first ``m - o + k`` characters of either (characters are numbered by occurrence, high occurrence numbers first).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry import params as P
 from attestry.functions.fuzzy import fuzzy_score
 from attestry.functions.normalize import let, norm_unicode
 from attestry.functions.patterns import find_all
 from attestry.functions.tokens import WORD_CLASS
-from attestry.scale import spread
+from attestry.scale import salted_join, spread
 
 EPS = 1e-9
 #: Digits of an occurrence number: a string has fewer than 2**31 characters, so none is ever cut.
 OCCURRENCE_DIGITS = 10
+#: Right strings of up to this many characters are cut into segments, longer ones matched by their rarest characters.
+SEGMENT_CHARS = 24
+#: Below it a string can need more segments than it has characters.
+SEGMENT_SCORE = 2 / 3
 
 
 def _numbered_chars(c: Column) -> Column:
@@ -62,27 +71,76 @@ def _keys(side: str, method: str, s: float) -> Column:
     return _pair_keys(marks, s)
 
 
-def _prepared(df: DataFrame, text: str, side: str, method: str, s: float) -> DataFrame:
-    """Distinct strings with their comparison form, characters and blocking keys."""
-    base = df.select(F.col(text).alias("_s")).where("_s IS NOT NULL").distinct()
+def _prepared(forms: DataFrame, side: str, method: str, s: float) -> DataFrame:
+    """Distinct strings with their characters and blocking keys."""
+    out = forms.withColumn("_marks", _numbered_chars(F.col("_form"))).withColumn("_keys", _keys(side, method, s))
+    name = "l" if side == "left" else "r"
+    return out.select(F.col("_s").alias(f"{name}_text"), F.col("_marks").alias(f"{name}_marks"), F.col("_keys").alias(f"{name}_keys"),
+                      F.explode(F.array_distinct("_keys")).alias("key"))
+
+
+def _edits(m: int, n: int, s: float) -> int:
+    """Most insertions and deletions between strings of ``m`` and ``n`` characters whose ratio is at least ``s``; -1: never."""
+    d = math.floor((1 - s) * (m + n) + EPS)
+    d -= (d - m - n) % 2
+    return d if d >= abs(m - n) else -1
+
+
+def segment_rows(s: float) -> tuple[list[tuple], list[tuple]]:
+    """Where segments stand: right rows (chars, kind, at, size) and left rows of the same kinds, at every shift allowed.
+
+    A kind is (chars of the right string, edits, number of the segment).  A segment of the right string moves left by the
+    deletions before it, right by the insertions; both counts follow from the edits and the two lengths."""
+    left, right = [], set()
+    for n in range(1, SEGMENT_CHARS + 1):
+        for m in range(1, math.floor(n * (2 - s) / s + EPS) + 1):
+            d = _edits(m, n, s)
+            if d < 0:
+                continue
+            back, ahead = (d + n - m) // 2, (d + m - n) // 2
+            for i in range(d + 1):
+                at, end = i * n // (d + 1), (i + 1) * n // (d + 1)
+                kind = f"{n}.{d}.{i}."
+                right.add((n, kind, at + 1, end - at))
+                left += [(m, kind, p + 1, end - at) for p in range(max(0, at - back), min(m - (end - at), at + ahead) + 1)]
+    return left, sorted(right)
+
+
+def _segment_keys(df: DataFrame, rows: list[tuple], name: str) -> DataFrame:
+    """(``name``_text, key) for distinct (_s, _form); the table of places has a fixed size, whatever the data."""
+    places = F.broadcast(df.sparkSession.createDataFrame(rows, "chars int, kind string, at int, size int"))
+    cut = df.join(places, F.length("_form") == places["chars"])
+    return cut.select(F.col("_s").alias(f"{name}_text"), F.concat("kind", F.substring(F.col("_form"), F.col("at"), F.col("size"))).alias("key")).distinct()
+
+
+def _forms(df: DataFrame, method: str) -> DataFrame:
+    """Distinct strings (_s) with the form that is compared (_form)."""
     form = F.col("_s")
     if method in ("token_sort", "token_set"):
         words = find_all(form, r"\S+")
         form = F.array_join(F.array_sort(F.array_distinct(words) if method == "token_set" else words), " ")
-    out = base.withColumn("_marks", _numbered_chars(form)).withColumn("_keys", _keys(side, method, s))
-    name = "l" if side == "left" else "r"
-    return out.select(F.col("_s").alias(f"{name}_text"), F.col("_marks").alias(f"{name}_marks"), F.col("_keys").alias(f"{name}_keys"),
-                      F.explode(F.array_distinct("_keys")).alias("key"))
+    return df.select(F.col("text").alias("_s")).where("_s IS NOT NULL").distinct().withColumn("_form", form)
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, method: str = "ratio", min_score: float = 0.8) -> DataFrame:
-    """FZ. Distinct (l_text, r_text) pairs that can reach ``min_score``.
+    """FZ. Distinct (l_text, r_text) pairs that can reach ``min_score``; hot keys are salted by their frequency."""
+    lf, rf = _forms(left, method), _forms(right, method)
+    if method in ("partial", "token_set") or min_score <= SEGMENT_SCORE:
+        return _prefix_candidates(lf, rf, method, min_score)
+    at_left, at_right = segment_rows(min_score)
+    short = salted_join(_segment_keys(lf, at_left, "l"), _segment_keys(rf, at_right, "r"), "key", "r_text").select("l_text", "r_text").distinct()
+    empty = lf.where("_form = ''").select(F.col("_s").alias("l_text")).join(rf.where("_form = ''").select(F.col("_s").alias("r_text")))
+    long_left = lf.where(F.length("_form") >= math.ceil((SEGMENT_CHARS + 1) * min_score / (2 - min_score) - EPS))
+    return short.unionByName(empty).unionByName(_prefix_candidates(long_left, rf.where(F.length("_form") > SEGMENT_CHARS), method, min_score))
+
+
+def _prefix_candidates(lf: DataFrame, rf: DataFrame, method: str, s: float) -> DataFrame:
+    """Pairs by shared rare characters.
 
     A pair that shares several keys is emitted at its smallest one only, so no pair de-duplication shuffle
     follows; length band and character overlap are checked inside the join.
     """
-    s = min_score
-    lp, rp = _prepared(left, "text", "left", method, s), _prepared(right, "text", "right", method, s)
+    lp, rp = _prepared(lf, "left", method, s), _prepared(rf, "right", method, s)
     m, n = F.size("l_marks"), F.size("r_marks")
     common = F.array_intersect("l_keys", "r_keys")
     if method == "partial":
@@ -116,31 +174,63 @@ def fuzzy_join(
 
 
 def candidate_report(left: DataFrame, right: DataFrame, method: str = "ratio", min_score: float = 0.8) -> DataFrame:
-    """FZ. Pairs compared against pairs possible."""
+    """FZ. Pairs compared, pairs possible and the share that survives the blocking."""
     n = lambda d: d.select("text").distinct().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     pairs = fuzzy_candidates(left, right, method, min_score).agg(F.count(F.lit(1)).alias("compared"))
-    return pairs.withColumn("possible", n(left) * n(right))
+    return pairs.withColumn("possible", n(left) * n(right)).withColumn(
+        "share", F.when(F.col("possible") > 0, F.col("compared") / F.col("possible")))
 
 
-def partial_matches(pairs: DataFrame, chunks: DataFrame, script: str = "any", min_score: float = 0.8) -> DataFrame:
-    """R14. Keywords of (query_id, chunk_id, keyword) with only a partial match in the chunk's words: one holds
-    the other, or a fuzzy ratio of at least ``min_score`` for words of three or more.
+def keyword_links(keywords: DataFrame, words: DataFrame, min_score: float = 0.8) -> DataFrame:
+    """R14. (keyword, word) of distinct lower-case keywords and vocabulary words that match in part: the word stands
+    in the keyword (two characters and more), or both have three and more and a ratio of at least ``min_score``.
 
-    Exact containment is decided per text.  The rest is joined through shared blocking keys over *distinct*
-    words, then brought back to the chunk by an equi join on (chunk, word).
-    """
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(find_all(F.lower("text"), f"[{WORD_CLASS[script]}]{{2,}}"))).alias("word"))
-    touched = words.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    texts = chunks.select("chunk_id", F.lower("text").alias("_t"))
-    kw = pairs.withColumn("keyword", F.lower("keyword"))
-    missing = kw.join(texts, "chunk_id").where(~F.col("_t").contains(F.col("keyword"))).drop("_t")
+    It depends on the two vocabularies only, so it is built once and serves every text; a word's keywords are found
+    by joins, never by comparing all pairs."""
+    kw = keywords.select("keyword").distinct()
     # A word inside a keyword: the keyword's own substrings are few, so they are the join key.
-    subs = missing.select("keyword").distinct().where(F.length("keyword") >= 2).withColumn("word", F.explode(F.flatten(F.transform(
+    subs = kw.where(F.length("keyword") >= 2).withColumn("word", F.explode(F.flatten(F.transform(
         F.sequence(F.lit(1), F.length("keyword") - 1), lambda i: F.transform(
             F.sequence(F.lit(2), F.length("keyword") - i + 1), lambda n: F.substring(F.col("keyword"), i, n)))))).distinct()
+    inside = subs.join(words.select("word").distinct(), "word", "left_semi").select("keyword", "word")
     close = fuzzy_candidates(
-        missing.where(F.length("keyword") >= 3).select(F.col("keyword").alias("text")),
-        touched.where(F.length("word") >= 3).select(F.col("word").alias("text")), "ratio", min_score)
-    near = close.withColumn("s", fuzzy_score("ratio")(F.col("l_text"), F.col("r_text"))).where(F.col("s") >= min_score - EPS)
-    linked = subs.select("keyword", "word").unionByName(near.select(F.col("l_text").alias("keyword"), F.col("r_text").alias("word"))).distinct()
-    return missing.join(linked, "keyword").join(touched, ["chunk_id", "word"], "left_semi").select("query_id", "chunk_id", "keyword").distinct()
+        kw.where(F.length("keyword") >= 3).select(F.col("keyword").alias("text")),
+        words.where(F.length("word") >= 3).select(F.col("word").alias("text")), "ratio", min_score)
+    scored = spread(close, "l_text", "r_text").withColumn("s", fuzzy_score("ratio")(F.col("l_text"), F.col("r_text")))
+    near = scored.where(F.col("s") >= min_score - EPS).select(F.col("l_text").alias("keyword"), F.col("r_text").alias("word"))
+    return inside.unionByName(near).distinct()
+
+
+def chunk_words(chunks: DataFrame, script: str = "any") -> DataFrame:
+    """(chunk_id, word): distinct words of two letters and more of each chunk, straight from the texts."""
+    return chunks.select("chunk_id", F.explode(F.array_distinct(find_all(F.lower("text"), f"[{WORD_CLASS[script]}]{{2,}}"))).alias("word"))
+
+
+def posting_words(postings: DataFrame, chunks: DataFrame, script: str = "any", stop=P.STOP_WORDS) -> DataFrame:
+    """(chunk_id, word) as ``chunk_words``, from an index: its postings, and from the texts only the words it leaves out."""
+    own = postings.where(F.col("term").rlike(f"^[{WORD_CLASS[script]}]{{2,}}$")).select("chunk_id", F.col("term").alias("word"))
+    left_out = [w for w in stop if len(w) >= 2]
+    if not left_out:
+        return own
+    some = chunks.where(F.lower("text").rlike("|".join(left_out)))
+    return own.unionByName(chunk_words(some, script).where(F.col("word").isin(*left_out)))
+
+
+def linked_keywords(missing: DataFrame, links: DataFrame, words: DataFrame) -> DataFrame:
+    """R14. The (chunk_id, keyword) rows of ``missing`` for which the chunk holds a linked word."""
+    asked = missing.select("chunk_id", "keyword").distinct().join(links, "keyword")
+    return asked.join(words, ["chunk_id", "word"], "left_semi").select("chunk_id", "keyword").distinct()
+
+
+def partial_matches(pairs: DataFrame, chunks: DataFrame, script: str = "any", min_score: float = 0.8) -> DataFrame:
+    """R14. Keywords of (query_id, chunk_id, keyword) with only a partial match in the chunk's words: one holds
+    the other, or a fuzzy ratio of at least ``min_score`` for words of three or more.
+
+    Exact containment is decided per text, with the keywords of a pair as one array."""
+    asked = pairs.groupBy("query_id", "chunk_id").agg(F.collect_set(F.lower("keyword")).alias("_k"))
+    texts = chunks.select("chunk_id", F.lower("text").alias("_t"))
+    both = F.struct("_t", "_k")
+    missing = asked.join(texts, "chunk_id").select("query_id", "chunk_id", F.explode(let(both, lambda b: F.filter(b["_k"], lambda k: ~b["_t"].contains(k)))).alias("keyword"))
+    words = chunk_words(chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi"), script)
+    links = keyword_links(missing, words.select("word").distinct(), min_score)
+    return missing.join(linked_keywords(missing, links, words), ["chunk_id", "keyword"]).select("query_id", "chunk_id", "keyword").distinct()

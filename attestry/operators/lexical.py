@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry import params as P
 from attestry.functions.patterns import find_all
 from attestry.functions.tokens import clean_query, tokens
 from attestry.params import Params
+from attestry.scale import cut_lineage
 
+#: Chunks of a shard and queries of a block, on average and at most: what one search task holds.
+SHARD_CHUNKS = 50_000
+BLOCK_QUERIES = 5_000
+#: Scores are rounded to six digits: one counts as lower only by more than that.
+SLACK = 2e-6
 # Postings carry one extra entry per chunk for its document id, so that an id typed in a query matches it.
 ID_TERM = "@id:"
 
@@ -51,21 +60,29 @@ def build_lexical_index(
     return index_of(postings)
 
 
-def index_of(postings: DataFrame) -> LexicalIndex:
-    """Derive term and corpus statistics from a postings table (fresh, checkpointed or read back)."""
+def index_of(postings: DataFrame, store: bool = False) -> LexicalIndex:
+    """Derive term and corpus statistics from a postings table.
+
+    ``store`` writes the three tables once into the checkpoint folder: a search then reads two small tables where it
+    would scan the postings for them."""
+    keep = cut_lineage if store else (lambda df: df)
+    postings = keep(postings)
     is_id = F.col("term").startswith(ID_TERM)
-    terms = postings.where(~is_id).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = postings.where(is_id).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = keep(postings.where(~is_id).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    corpus = keep(postings.where(is_id).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
     return LexicalIndex(postings, terms, corpus)
 
 
 def write_index(index: LexicalIndex, path: str) -> None:
-    """R2. Persist postings sorted by term inside files, so a term filter skips row groups by min/max."""
+    """R2. Persist postings sorted by term inside files, so that a term filter skips row groups by min/max, with the
+    statistics beside them."""
     index.postings.repartition("chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def read_index(spark, path: str) -> LexicalIndex:
-    return index_of(spark.read.parquet(f"{path}/postings"))
+    return LexicalIndex(**{name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")})
 
 
 def query_terms(queries: DataFrame, text: str = "text", query_id: str = "query_id", script: str = "any") -> DataFrame:
@@ -84,6 +101,16 @@ def top_k(df: DataFrame, k: int, score: str = "score", key: str = "query_id", ti
     return df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _weights(queries: DataFrame, index: LexicalIndex, text: str, query_id: str, script: str) -> DataFrame:
+    """(query_id, term, idf, avgdl) of the query terms; an id term counts 1, a term the index lacks is left out."""
+    stats = index.corpus.select(F.struct("n", "avgdl")).scalar()
+    q = query_terms(queries, text, query_id, script)
+    is_id = F.col("term").startswith(ID_TERM)
+    ids = index.postings.where(is_id).select("term", F.lit(1).cast("bigint").alias("df")).distinct()
+    return q.join(index.terms.unionByName(ids), "term").withColumn("_st", stats).select(
+        "query_id", "term", F.when(is_id, 1.0).otherwise(F.log(F.col("_st.n") / (F.col("df") + 1)) + 1).alias("idf"), F.col("_st.avgdl").alias("avgdl"))
+
+
 def bm25_topk(
     queries: DataFrame,
     index: LexicalIndex,
@@ -95,42 +122,135 @@ def bm25_topk(
     mode: str = "first",
     k1: float = Params.bm25_k1,
     b: float = Params.bm25_b,
+    prune: bool = True,
 ) -> DataFrame:
     """R3. BM25 top-k with OR semantics: (query_id, chunk_id, doc_id, score, rank).
 
-    The query side joins without a hint: the planner broadcasts it while its size is under
-    ``autoBroadcastJoinThreshold`` and otherwise shuffles by term, where AQE splits frequent terms.
+    The postings of the query terms meet the queries in shards of chunks, where a query's terms are added up in the
+    order of their upper bounds, until the terms left over cannot lift a new chunk to the k-th best score: from there
+    on they are only looked up for chunks that can still reach it (``_search_shard``).  Shards send at most their own
+    best k and ties.  ``prune=False`` scores all pairs by joins; so does a search with a ``scope``, whose
+    candidates are few.
     R8: ``scope`` (query_id, doc_id) restricts candidates before ranking (``mode="first"``, exact) or after an
     over-fetch of 3k (``mode="overfetch"``).
     """
-    stats = index.corpus.select(F.struct("n", "avgdl")).scalar()
-    q = query_terms(queries, text, query_id, script)
-    # Document frequencies of the query terms only: the semi join moves below the grouping, to the scan.
-    dfs = index.terms.join(q.select("term"), "term", "left_semi")
-    is_id = F.col("term").startswith(ID_TERM)
-    weighted = (
-        q.join(dfs, "term", "left").where(is_id | F.col("df").isNotNull()).withColumn("_st", stats)
-        .select("query_id", "term", F.col("_st.avgdl").alias("_avgdl"),
-                F.when(is_id, 1.0).otherwise(F.log(F.col("_st.n") / (F.col("df") + 1)) + 1).alias("_idf")))
-    norm = k1 * ((1 - b) + b * F.col("dl") / F.col("_avgdl"))
-    part = F.when(F.col("term").startswith(ID_TERM), F.col("_idf")).otherwise(
-        F.col("_idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    )
-    scored = (
-        index.postings.join(weighted, "term")
-        .groupBy("query_id", "chunk_id", "doc_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    return _scoped_top_k(scored, k, scope, mode)
-
-
-def _scoped_top_k(scored: DataFrame, k: int, scope: DataFrame | None, mode: str) -> DataFrame:
-    if scope is None:
-        return top_k(scored, k)
-    if mode == "first":
-        return top_k(scored.join(scope, ["query_id", "doc_id"], "left_semi"), k)
-    wide = top_k(scored, 3 * k).drop("rank")
-    return top_k(wide.join(scope, ["query_id", "doc_id"], "left_semi"), k)
+    weights = _weights(queries, index, text, query_id, script)
+    within = scope if mode == "first" else None
+    depth = k if scope is None or mode == "first" else 3 * k
+    if prune and within is None:
+        scored = _sharded(weights, index, depth, k1, b)
+    else:
+        norm = k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl"))
+        part = F.when(F.col("term").startswith(ID_TERM), F.col("idf")).otherwise(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
+        scored = _in_scope(index.postings.join(weights, "term").groupBy("query_id", "chunk_id", "doc_id").agg(F.sum(part).alias("score")), within)
+    ranked = top_k(scored.withColumn("score", F.round("score", 6)), depth)
+    return ranked if depth == k else top_k(_in_scope(ranked.drop("rank"), scope), k)
+
+
+def _in_scope(df: DataFrame, scope: DataFrame | None) -> DataFrame:
+    return df if scope is None else df.join(scope, ["query_id", "doc_id"], "left_semi")
+
+
+def _sharded(weights: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, chunk_id, doc_id, score): the best k of each query and shard, and more that tie with them.
+
+    Shards are hashes of the chunk id, as many as the corpus needs; queries come in blocks, and a shard receives of
+    each block the postings of its terms only."""
+    spark = weights.sparkSession
+    weights = cut_lineage(weights)
+    n_chunks = index.corpus.select("n").first()[0] or 0
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = max(2 * n_tasks, -(-n_chunks // SHARD_CHUNKS))
+    n_blocks = max(1, -(-weights.select("query_id").distinct().count() // BLOCK_QUERIES))
+    blocked = weights.withColumn("block", F.pmod(F.hash("query_id"), F.lit(n_blocks)))
+    postings = index.postings.join(blocked.select("term", "block").distinct(), "term").withColumn("shard", F.pmod(F.hash("chunk_id"), F.lit(n_shards)))
+    asked = blocked.select("query_id", "term", "idf", "avgdl", F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("q_shard"))
+    schema = T.StructType([weights.schema["query_id"], *[index.postings.schema[c] for c in ("chunk_id", "doc_id")], T.StructField("score", T.DoubleType())])
+    # The explicit number keeps AQE from merging partitions that are small but expensive.
+    n_tasks = max(n_tasks, n_shards * n_blocks // 2)
+    postings, asked = postings.repartition(n_tasks, "shard", "block"), asked.repartition(n_tasks, "q_shard", "q_block")
+    return postings.groupBy("shard", "block").cogroup(asked.groupBy("q_shard", "q_block")).applyInArrow(_search_shard(k, k1, b), schema)
+
+
+def _search_shard(k: int, k1: float, b: float):
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        chunks = postings["chunk_id"].combine_chunks().dictionary_encode()
+        terms = postings["term"].combine_chunks().dictionary_encode()
+        doc, code = chunks.indices.to_numpy(zero_copy_only=False), terms.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((doc, code))
+        doc, code = doc[order], code[order]
+        names = terms.dictionary.to_pylist()
+        edges = np.searchsorted(code, np.arange(len(names) + 1))
+        part = np.zeros(0)
+        if len(doc) and asked.num_rows:
+            tf, dl = (postings[c].to_numpy()[order].astype(np.float64) for c in ("tf", "dl"))
+            part = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / asked["avgdl"][0].as_py()))
+            ids = np.array([n.startswith(ID_TERM) for n in names])
+            part[ids[code]] = 1.0
+        top = np.maximum.reduceat(part, edges[:-1]) if len(part) else part  # a term's bound in this shard
+        queries = asked["query_id"].combine_chunks().dictionary_encode()
+        place = {name: i for i, name in enumerate(names)}
+        of_query: list[list[tuple]] = [[] for _ in range(len(queries.dictionary))]
+        for q, term, idf in zip(queries.indices.to_pylist(), asked["term"].to_pylist(), asked["idf"].to_pylist(), strict=True):
+            i = place.get(term)
+            if i is not None:
+                of_query[q].append((idf * top[i], term, idf, edges[i], edges[i + 1]))
+        score = np.zeros(len(chunks.dictionary))
+        found_q, found_d, found_s = [], [], []
+        for q, lists in enumerate(of_query):
+            if not lists:
+                continue
+            lists.sort(key=lambda t: (-t[0], t[1]))
+            best, value = best_of_lists(lists, doc, part, score, k)
+            found_q.append(np.full(len(best), q))
+            found_d.append(best)
+            found_s.append(value)
+        none = np.zeros(0, dtype=np.int64)
+        d = np.concatenate([none, *found_d])
+        first = np.full(len(score), -1)
+        first[doc] = order  # some posting of each chunk, for its document
+        return pa.table([
+            queries.dictionary.take(pa.array(np.concatenate([none, *found_q]))), chunks.dictionary.take(pa.array(d)),
+            postings["doc_id"].combine_chunks().take(pa.array(first[d])), pa.array(np.concatenate([np.zeros(0), *found_s]))], ["query_id", "chunk_id", "doc_id", "score"])
+
+    return run
+
+
+def best_of_lists(lists: list[tuple], doc: np.ndarray, part: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks and scores of the best k of one query, with all that come within ``SLACK`` of the k-th.
+
+    ``lists`` are (bound, term, weight, start, end), greatest bound first: ranges of ``doc`` (ascending) and ``part``.
+    ``score`` holds zeros and does so again afterwards."""
+    left = np.cumsum([t[0] for t in lists][::-1])[::-1]  # bound of all lists from here on
+    floor, i = 0.0, 0
+    while i < len(lists):
+        if floor and left[i] < floor - SLACK:
+            break
+        _, _, weight, a, e = lists[i]
+        score[doc[a:e]] += weight * part[a:e]
+        i += 1
+        # the threshold can stop the reading only once it may exceed what is left
+        if i < len(lists) and left[0] - left[i] > left[i]:
+            floor = max(floor, _kth(score, k))
+    touched = live = np.flatnonzero(score)  # every part is positive
+    while i < len(lists) and len(live):  # the other lists are only looked up
+        floor = max(floor, _kth(score[live], k))
+        live = live[score[live] + left[i] >= floor - SLACK]
+        _, _, weight, a, e = lists[i]
+        at = doc[a:e]
+        where = np.minimum(np.searchsorted(at, live), len(at) - 1)
+        hit = at[where] == live
+        score[live[hit]] += weight * part[a:e][where[hit]]
+        i += 1
+    value = score[live]
+    score[touched] = 0.0
+    good = value >= _kth(value, k) - SLACK
+    return live[good], value[good]
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest, 0 if there are fewer."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else 0.0
 
 
 def norm_by_max(hits: DataFrame, score: str = "score", key: str = "query_id") -> DataFrame:

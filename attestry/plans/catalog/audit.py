@@ -8,8 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestry.functions import similarity as S
-from attestry.functions.patterns import find_all
-from attestry.functions.tokens import split_sentences
+from attestry.functions.tokens import extract_keywords, split_sentences, tokens
 from attestry.operators import audit as A
 from attestry.operators import citations as C
 from attestry.operators import fuzzyjoin as Z
@@ -18,7 +17,6 @@ from attestry.plans.catalog import register
 from attestry.plans.catalog import sql as Q
 from attestry.plans.catalog.dialog import TH, turn_hits
 from attestry.plans.catalog.retrieval import chunks_of, fused_of, lexical_of, queries_of
-from attestry.functions.tokens import extract_keywords
 from attestry.session import load_table
 
 
@@ -323,12 +321,16 @@ def a4(spark, sf):
 # ---- fuzzy joins ---------------------------------------------------------------------------------------
 
 def vocabulary(spark, sf):
-    """Left: words of the benchmark passages; right: the corpus vocabulary (words of five letters and more)."""
-    word = lambda df, c: df.select(F.explode(find_all(F.lower(c), r"\p{L}{5,}")).alias("text")).distinct().withColumn("id", F.col("text"))
-    return word(queries_of(spark, sf), "text"), lexical_of(spark, sf).terms.where(F.length("term") >= 5).select(F.col("term").alias("text"), F.col("term").alias("id"))
+    """Left: distinct terms of the benchmark passages; right: the corpus vocabulary.  Terms of every length take part."""
+    own = queries_of(spark, sf).select(F.explode(tokens(F.col("text"))).alias("text")).distinct()
+    as_rows = lambda df: df.select("text", F.col("text").alias("id"))
+    return as_rows(own), as_rows(lexical_of(spark, sf).terms.select(F.col("term").alias("text")))
 
 
-@register("fz_fuzzy_join")
+@register("fz_fuzzy_join", f"""
+WITH l AS (SELECT DISTINCT unnest({Q.tokens('text')}) AS x FROM benchmark), r AS (SELECT DISTINCT unnest({Q.tokens('text')}) AS x FROM documents)
+SELECT a AS left_id, b AS right_id, r AS score FROM ({Q.close_pairs('l', 'r', '0.85e0')})
+QUALIFY row_number() OVER (PARTITION BY a ORDER BY r DESC, b DESC) = 1""")
 def fz(spark, sf):
     left, right = vocabulary(spark, sf)
     return Z.fuzzy_join(left, right, "ratio", 0.85)
@@ -340,7 +342,8 @@ def fz2(spark, sf):
     return Z.candidate_report(left, right, "ratio", 0.85)
 
 
-@register("r14_partial_match")
+@register("r14_partial_match", f"""WITH {Q.BENCH_Q},{Q.bm25_ctes(60)},{Q.VECTOR_CTES},{Q.FUSED},{Q.RELATED}
+SELECT query_id, chunk_id, count(DISTINCT k) AS partial_keywords FROM pmatch GROUP BY ALL""")
 def r14(spark, sf):
     kw = queries_of(spark, sf).select("query_id", F.explode(extract_keywords(F.col("text"))).alias("keyword"))
     pairs = fused_of(spark, sf).select("query_id", "chunk_id").join(kw, "query_id")

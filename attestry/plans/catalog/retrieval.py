@@ -27,9 +27,7 @@ def chunks_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexical_of(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
     """The term index is built once per application and reused by every query that searches."""
-    return lexical.index_of(
-        shared(spark, ("postings", sf), lambda: lexical.build_lexical_index(chunks_of(spark, sf)).postings)
-    )
+    return shared(spark, ("lexical", sf), lambda: lexical.index_of(lexical.build_lexical_index(chunks_of(spark, sf)).postings, store=True), cut=False)
 
 
 def corpus_of(spark: SparkSession, sf: str) -> hybrid.Corpus:
@@ -54,7 +52,7 @@ def fused_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def related_of(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, ("related", sf), lambda: fusion.with_keyword_relevance(
-        fused_of(spark, sf), queries_of(spark, sf), chunks_of(spark, sf)))
+        fused_of(spark, sf), queries_of(spark, sf), chunks_of(spark, sf), postings=lexical_of(spark, sf).postings))
 
 
 WITH_Q = f"WITH {Q.BENCH_Q},"
@@ -90,8 +88,7 @@ def r2(spark, sf):
 
 @register("r3_bm25_topk", WITH_Q + Q.bm25_ctes(10) + " SELECT query_id, chunk_id, score, rank FROM hits")
 def r3(spark, sf):
-    idx = lexical.build_lexical_index(chunks_of(spark, sf))
-    return lexical.bm25_topk(queries_of(spark, sf), idx, 10).select("query_id", "chunk_id", "score", "rank")
+    return lexical.bm25_topk(queries_of(spark, sf), lexical_of(spark, sf), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 @register("r4_clean_query", f"SELECT item_id AS query_id, {Q.clean_query('text')} AS cleaned FROM benchmark")
@@ -177,9 +174,7 @@ def r9(spark, sf):
     return fuse(spark, sf).select("query_id", "chunk_id", "rrf_score")
 
 
-@register("r10_keywords", r"""
-SELECT DISTINCT query_id, k AS keyword FROM (SELECT item_id AS query_id,
- unnest(regexp_extract_all(text, '\d+') || [w for w in regexp_extract_all(text, '\p{L}{2,}') if length(w) >= 4]) AS k FROM benchmark)""")
+@register("r10_keywords", f"SELECT DISTINCT query_id, k AS keyword FROM (SELECT item_id AS query_id, unnest({Q.KEYWORDS}) AS k FROM benchmark)")
 def r10(spark, sf):
     return queries_of(spark, sf).select("query_id", F.explode(T.extract_keywords(F.col("text"))).alias("keyword"))
 
@@ -204,7 +199,7 @@ def r12(spark, sf):
 
 @register("r13_keyword_relevance", REL + " SELECT query_id, chunk_id, keyword_relevance FROM related")
 def r13(spark, sf):
-    rel = fusion.with_keyword_relevance(fused_of(spark, sf), queries_of(spark, sf), chunks_of(spark, sf))
+    rel = fusion.with_keyword_relevance(fused_of(spark, sf), queries_of(spark, sf), chunks_of(spark, sf), postings=lexical_of(spark, sf).postings)
     return rel.select("query_id", "chunk_id", "keyword_relevance")
 
 
@@ -220,9 +215,9 @@ def r15(spark, sf):
         S.ngram_jaccard(F.lower("q_text"), F.lower("text")), 6).alias("similarity"))
 
 
-@register("r16_number_match", r"""
+@register("r16_number_match", rf"""
 WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
-k AS (SELECT *, list_distinct(regexp_extract_all(text, '\d+')) AS nums FROM c WHERE nxt IS NOT NULL)
+k AS (SELECT *, [lower(x) for x in list_distinct({Q.KEYWORDS}) if regexp_matches(x, '\d')] AS nums FROM c WHERE nxt IS NOT NULL)
 SELECT conv_id, turn, round(CASE WHEN len(nums) = 0 THEN 0e0 ELSE
   len([n for n in nums if contains(lower(nxt), n)])::double / len(nums) END, 6) AS score FROM k""")
 def r16(spark, sf):

@@ -100,7 +100,51 @@ fused AS MATERIALIZED (
   SELECT query_id, chunk_id, round(sum(0.4e0 * (1e0 / (60 + rank))), 9) AS rrf_score
   FROM (SELECT query_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, rank FROM vhits) GROUP BY ALL)"""
 
-KEYWORDS = r"regexp_extract_all(text, '\d+') || [w for w in regexp_extract_all(text, '\p{L}{2,}') if length(w) >= 4]"
+KEYWORDS = (r"regexp_extract_all(text, '\d+') || [w for w in regexp_extract_all(text, '\p{L}{2,}') if length(w) >= 4]"
+            r" || [w for w in regexp_extract_all(text, '\p{Latin}[\p{Latin}0-9]*') if length(w) >= 2]")
+
+
+def lcs(a: str, b: str) -> str:
+    """Longest common subsequence by rows of the usual table: a row is a list, built entry by entry.
+
+    Characters are code points, so that all lists are lists of numbers."""
+    codes = lambda c: f"list_transform(string_split({c}, ''), lambda x: unicode(x)::bigint)"
+    entry = "list_append(line, CASE WHEN other[j[1]] = ch[1] THEN up[j[1]] + 1 ELSE greatest(up[j[1] + 1], line[j[1]]) END)"
+    entry = entry.replace("other", codes(b))
+    step = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda n: [n]), lambda line, j: {entry}, [0::bigint])"
+    return (f"list_reduce(list_transform({codes(a)}, lambda c: [c]), lambda up, ch: {step}, "
+            f"list_transform(range(0, length({b}) + 1), lambda n: 0::bigint))[-1]")
+
+
+def close_pairs(left: str, right: str, score: str, least: int = 1) -> str:
+    """SELECT of (a, b, r): pairs of the strings ``x`` of two tables, of ``least`` characters and more, with an indel ratio r of
+    at least ``score``.
+
+    An indel distance is no less than Levenshtein's, which is native.  DuckDB counts bytes there, so accents are taken off
+    first, which brings no two strings further apart; only pairs of fitting lengths are compared."""
+    form = f"SELECT DISTINCT x, length(x) AS n, translate(strip_accents(x), 'ßæøœ', 'saoo') AS plain FROM {{}} WHERE length(x) >= {least}"
+    return f"""SELECT a, b, r FROM (
+  SELECT a, b, 200e0 * {lcs('a', 'b')} / (m + n) / 100e0 AS r FROM (
+    SELECT l.x AS a, r.x AS b, l.n AS m, r.n AS n
+    FROM (SELECT *, unnest(range(ceil(n * {score} / (2 - {score}) - 1e-9)::bigint, floor(n * (2 - {score}) / {score} + 1e-9)::bigint + 1)) AS other FROM ({form.format(left)})) l
+    JOIN ({form.format(right)}) r ON r.n = l.other WHERE levenshtein(l.plain, r.plain) <= (1 - {score}) * (l.n + r.n) + 1e-9))
+WHERE r >= {score} - 1e-9"""
+
+
+# From pairs(query_id, chunk_id, kws, low) and hitdoc(doc_id, low): pmatch(query_id, chunk_id, k), a row for each keyword the
+# text does not hold, but has a word that stands in it or comes close to it.
+PARTIAL = rf"""
+hw AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(regexp_extract_all(low, '\p{{L}}{{2,}}'))) AS w FROM hitdoc),
+kx AS MATERIALIZED (SELECT DISTINCT unnest(kws) AS x FROM pairs),
+wx AS MATERIALIZED (SELECT DISTINCT w AS x FROM hw),
+lnk AS MATERIALIZED (
+  SELECT DISTINCT k, w FROM (SELECT x AS k, i, unnest(range(2, length(x) - i + 2)) AS n FROM (SELECT x, unnest(range(1, length(x))) AS i FROM kx)) s
+  JOIN (SELECT x AS w FROM wx) ON w = substr(k, i, n)
+  UNION SELECT a, b FROM ({close_pairs('kx', 'wx', '0.8e0', 3)})
+),
+pmatch AS MATERIALIZED (
+  SELECT query_id, chunk_id, pk.k FROM (SELECT query_id, chunk_id, low, unnest(kws) AS k FROM pairs) pk
+  SEMI JOIN (SELECT DISTINCT doc_id, k FROM hw JOIN lnk USING (w)) ph ON ph.doc_id = chunk_id AND ph.k = pk.k WHERE NOT contains(low, pk.k))"""
 
 # Keyword relevance of the fused hits: related(query_id, chunk_id, rrf_score, keyword_relevance).
 RELATED = rf"""
@@ -118,18 +162,19 @@ kw AS MATERIALIZED (
 hitdoc AS MATERIALIZED (SELECT doc_id, lower(text) AS low, {grams('lower(text)')} AS g FROM documents
   WHERE doc_id IN (SELECT chunk_id FROM fused)),
 pairs AS (SELECT f.*, kws, nums, joined, low, g, {grams('joined')} AS kg FROM fused f JOIN kw USING (query_id) JOIN hitdoc ON doc_id = chunk_id),
+{PARTIAL},
 meas AS (
-  SELECT query_id, chunk_id, rrf_score, len(kws) AS nk,
+  SELECT query_id, chunk_id, rrf_score, len(kws) AS nk, coalesce(np, 0)::double / nullif(len(kws), 0) AS part,
     len([k for k in kws if contains(low, k)])::double / nullif(len(kws), 0) AS exact,
     {jaccard('kg', 'g')} AS gram,
     CASE WHEN len(nums) = 0 THEN 0e0 ELSE len([k for k in nums if contains(low, k)])::double / len(nums) END AS num,
     least(length(joined) / 20e0, 0.1e0) AS bonus
-  FROM pairs
+  FROM pairs LEFT JOIN (SELECT query_id, chunk_id, count(*) AS np FROM pmatch GROUP BY ALL) USING (query_id, chunk_id)
 ),
-tot AS (SELECT *, exact * 0.4e0 + gram * 0.25e0 + num * 0.1e0 + bonus AS t FROM meas),
+tot AS (SELECT *, exact * 0.4e0 + part * 0.25e0 + gram * 0.25e0 + num * 0.1e0 + bonus AS t FROM meas),
 related AS MATERIALIZED (
   SELECT query_id, chunk_id, rrf_score, round(CASE WHEN nk = 0 THEN 0.2e0 ELSE
-     least(CASE WHEN gram > 0.05 OR exact > 0 THEN greatest(t, 0.1e0) ELSE t END, 1e0) END, 6) AS keyword_relevance
+     least(CASE WHEN gram > 0.05 OR part > 0 OR exact > 0 THEN greatest(t, 0.1e0) ELSE t END, 1e0) END, 6) AS keyword_relevance
   FROM tot)"""
 
 FILTERED = """

@@ -29,7 +29,7 @@ def build_corpus(chunks: DataFrame, script: str = "any", materialise: bool = Tru
     """Index a chunk table.  Postings are the one expensive intermediate: cut once, then read by the term
     statistics, the scoring join and the default encoder."""
     built = build_lexical_index(chunks, script=script)
-    lexical = index_of(cut_lineage(built.postings)) if materialise else built
+    lexical = index_of(built.postings, store=True) if materialise else built
     words = lexical.postings.where(~F.col("term").startswith(ID_TERM))
     vectors = hashed_vectors(words).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     return Corpus(chunks, lexical, vectors)
@@ -61,5 +61,5 @@ def hybrid_retrieve(
     lexical, vec = candidate_lists(queries, corpus, p, scope)
     # The fused list is small (at most four list depths per query) and is read twice below.
     fused = cut_lineage(rrf([lexical, vec], (p.w_bm25, p.w_vector), p.rrf_k))
-    related = with_keyword_relevance(fused, queries, corpus.chunks, p.script)
+    related = with_keyword_relevance(fused, queries, corpus.chunks, p.script, corpus.lexical.postings)
     return diversify(relevance_filter(related, p), limit)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
@@ -47,12 +48,27 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-_SHARED: dict[tuple, DataFrame] = {}
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, most: int = 20_000) -> DataFrame:
+    """Inner join on ``key`` in which a key with more than ``most`` right rows is dealt to as many tasks as it needs.
 
+    The right rows of such a key are split by a hash of ``spread_by``, its left rows repeated for each part; a key
+    within the limit has one part and is not repeated."""
+    parts = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(
+        key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    n = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = right.join(parts, key, "left").withColumn("_part", F.pmod(F.hash(spread_by), n)).drop("_parts")
+    repeated = left.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return repeated.join(dealt, [key, "_part"]).drop("_part")
 
-def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Materialise an intermediate once per application and reuse it (hits, answer pairs, term index)."""
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, key: tuple, build, cut: bool = True):
+    """Materialise an intermediate once per application and reuse it (hits, answer pairs, term index).
+
+    ``cut`` off takes what ``build`` returns as it is: something that has been stored already."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _SHARED:
-        _SHARED[full] = cut_lineage(build())
+        _SHARED[full] = cut_lineage(build()) if cut else build()
     return _SHARED[full]
