@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestry.llm.bytehash import LOWER, mix64, pieces, prefix_hash, span_hash, word_spans
 from attestry.llm.store import settle, small_batches
@@ -147,7 +148,7 @@ def best_cut(scored: DataFrame) -> float:
 def weights(docs: DataFrame, ratio: np.ndarray, ngrams: int = NGRAMS, seed: int = SEED) -> DataFrame:
     """(row, n_grams, ratio, log_weight, key) of each document; ``row`` is a struct of all columns of ``docs``."""
     packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = packed.mapInArrow(_weigh(ratio), f"row {packed.schema['row'].dataType.simpleString()}, n_grams long, ratio double")
+    out = packed.mapInArrow(_weigh(ratio), StructType([packed.schema["row"], *StructType.fromDDL("n_grams long, ratio double").fields]))
     log_weight = F.col("ratio") * ngrams
     return out.withColumn("log_weight", log_weight).withColumn("key", log_weight + gumbel(F.col("row.doc_id"), seed=seed))
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestry.llm.bytehash import pieces as text_runs
 from attestry.llm.store import small_batches
@@ -235,7 +236,7 @@ def encode_documents(docs: DataFrame, model: bytes, carry: list[str] | None = No
     small_batches(docs.sparkSession)
     names = docs.columns if carry is None else carry
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, n_ids long, round_trip boolean, parity boolean"
+    schema = StructType([packed.schema["row"], *StructType.fromDDL("ids array<int>, n_ids long, round_trip boolean, parity boolean").fields])
     return packed.mapInArrow(_code(model, check, threads), schema)
 
 

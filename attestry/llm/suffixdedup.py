@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestry.llm.bytehash import mix64, pieces, prefix_hash, span_hash
 from attestry.llm.gsaca import suffix_array
@@ -458,6 +459,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     packed = docs.select(row, F.col("text").cast("string").alias("text"))
     packed = packed.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = packed.hint("merge").join(cuts, "key", "left").select("row", "text", "cuts")
-    out = joined.mapInArrow(_trim, f"row {packed.schema['row'].dataType.simpleString()}, trimmed string")
+    out = joined.mapInArrow(_trim, StructType([packed.schema["row"], *StructType.fromDDL("trimmed string").fields]))
     new = {"text": F.col("trimmed"), "n_chars": F.coalesce(F.char_length("trimmed"), F.lit(0)).cast("long")}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

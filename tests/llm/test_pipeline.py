@@ -2,6 +2,8 @@ import random
 import sys
 
 import corpus_pipeline
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
+
 from attestry.llm import minhash, queries
 from tests.llm.conftest import sentence
 from tests.llm.test_minhash import brute, near_copies
@@ -70,3 +72,19 @@ def test_near_copies_link_from_four_fifths(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [0, 2, 4, 6, 7]
     assert sorted(r.doc_id for r in minhash.near_duplicates(docs).where("kept").collect()) == [0, 2, 3, 4, 5, 6, 7]
+
+
+def test_columns_of_any_name_come_through(spark, sf):
+    """Names with spaces and dots, names that helpers use, a map column: every stage returns them with their values."""
+    rng = random.Random(4)
+    names = ["doc_id", "text", "my col", "a.b", "_row", "_k1", "k1", "row", "doc", "id", "rank", "key"]
+    rows = [(n, sentence(rng, 60), *[100 * n + j for j in range(len(names) - 2)], {"k": n}) for n in range(30)]
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *[StructField(c, LongType()) for c in names[2:]],
+                         StructField("a map", MapType(StringType(), LongType()))])
+    docs = spark.createDataFrame(rows, schema)
+    want = {r["doc_id"]: tuple(r)[2:] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        got = docs.collect()
+        assert got and all(tuple(r)[2 : len(schema)] == want[r["doc_id"]] for r in got), name
+        assert docs.columns[: len(schema)] == schema.names
