@@ -7,7 +7,7 @@ decides on them as on any other text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, minhash, resample, sentencepieces, suffixdedup
@@ -31,13 +31,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is the row with the smallest doc_id; rows without a doc_id come last, and a hash of the row breaks ties.  Groups
     are made of rows, not of doc_ids: two texts of one doc_id are two documents here, so that neither takes the other along.
     """
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))  # written once, so that the numbers stay
-    groups = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=NEAR_PERCENT)
-    groups = groups.select(F.col("doc_id").alias("_row"), "component_id")
     id_ = F.col("doc_id").cast("long")
-    rank = rows.select("_row", F.struct(id_.isNull().alias("unnamed"), id_.alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col("_row").alias("row")).alias("rank"))
-    first = settle(groups.join(rank, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_row")))
-    return rows.hint("merge").join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), _whole(docs), "text"))  # written once, so that the numbers stay
+    groups = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id")
+    rank = rows.select("row", F.struct(F.col("id").isNull().alias("unnamed"), "id", F.xxhash64(F.to_json("doc")).alias("hash"), "row").alias("rank"))
+    first = settle(groups.join(rank, "row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row"))
+    return _unpacked(rows.hint("merge").join(first, "row", "left_semi"), docs)
+
+
+def _whole(docs: DataFrame) -> Column:
+    """All columns as one, so that no helper's name can clash with one of theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +59,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = decontaminate.contamination(docs.select("doc_id", "text"), load_table(spark, sf_dir, "benchmark"))
     gone = settle(judged.where("contaminated").select("k1", "k2").distinct())
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.hash(text)})
-    kept = keyed.hint("merge").join(gone, (F.col("_k1") == gone["k1"]) & (F.col("_k2") == gone["k2"]), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(_whole(docs), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
+    return _unpacked(keyed.hint("merge").join(gone, ["k1", "k2"], "left_anti"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
