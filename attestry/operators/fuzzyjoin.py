@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from attestry.functions.fuzzy import fuzzy_score
 from attestry.functions.normalize import let, norm_unicode
 from attestry.functions.patterns import find_all
 from attestry.functions.tokens import WORD_CLASS
-from attestry.scale import salted_join, spread
+from attestry.scale import cut_lineage, salted_join, spread
 
 EPS = 1e-9
 #: Digits of an occurrence number: a string has fewer than 2**31 characters, so none is ever cut.
@@ -108,9 +109,25 @@ def segment_rows(s: float) -> tuple[list[tuple], list[tuple]]:
 
 def _segment_keys(df: DataFrame, rows: list[tuple], name: str) -> DataFrame:
     """(``name``_text, key) for distinct (_s, _form); the table of places has a fixed size, whatever the data."""
-    places = F.broadcast(df.sparkSession.createDataFrame(rows, "chars int, kind string, at int, size int"))
-    cut = df.join(places, F.length("_form") == places["chars"])
-    return cut.select(F.col("_s").alias(f"{name}_text"), F.concat("kind", F.substring(F.col("_form"), F.col("at"), F.col("size"))).alias("key")).distinct()
+    places = F.broadcast(df.sparkSession.createDataFrame(pa.table(list(map(list, zip(*rows, strict=True))), ["chars", "kind", "at", "size"])))
+    cut = df.withColumn("_mask", _mask(F.col("_form"))).join(places, F.length("_form") == places["chars"])
+    return cut.select(
+        F.col("_s").alias(f"{name}_text"), F.length("_form").alias(f"{name}_n"), "_mask",
+        F.concat("kind", F.substring(F.col("_form"), F.col("at").cast("int"), F.col("size").cast("int"))).alias("key")).withColumnRenamed("_mask", f"{name}_mask").distinct()
+
+
+def _mask(form: Column) -> Column:
+    """64 bits, one set for each numbered character; a bit that only one of two strings has is a character the other lacks."""
+    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(m), F.lit(64)).cast("int"))
+    return F.aggregate(_numbered_chars(form), F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(bit(m)))
+
+
+def _masks_fit(s: float) -> Column:
+    """Whether the characters alone leave room for the score: no more of either may be missing in the other than there
+    can be deletions and insertions."""
+    d = F.floor((1 - s) * (F.col("l_n") + F.col("r_n")) + EPS)
+    lacks = lambda a, b: F.bit_count(F.col(f"{a}_mask").bitwiseAND(F.bitwise_not(F.col(f"{b}_mask"))))
+    return (2 * lacks("l", "r") <= d + F.col("l_n") - F.col("r_n")) & (2 * lacks("r", "l") <= d + F.col("r_n") - F.col("l_n"))
 
 
 def _forms(df: DataFrame, method: str) -> DataFrame:
@@ -128,7 +145,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, method: str = "ratio", m
     if method in ("partial", "token_set") or min_score <= SEGMENT_SCORE:
         return _prefix_candidates(lf, rf, method, min_score)
     at_left, at_right = segment_rows(min_score)
-    short = salted_join(_segment_keys(lf, at_left, "l"), _segment_keys(rf, at_right, "r"), "key", "r_text").select("l_text", "r_text").distinct()
+    right_keys = cut_lineage(_segment_keys(rf, at_right, "r"))  # read twice: counted by key and joined
+    short = salted_join(_segment_keys(lf, at_left, "l"), right_keys, "key", "r_text")
+    short = short.where(_masks_fit(min_score)).select("l_text", "r_text").distinct()
     empty = lf.where("_form = ''").select(F.col("_s").alias("l_text")).join(rf.where("_form = ''").select(F.col("_s").alias("r_text")))
     long_left = lf.where(F.length("_form") >= math.ceil((SEGMENT_CHARS + 1) * min_score / (2 - min_score) - EPS))
     return short.unionByName(empty).unionByName(_prefix_candidates(long_left, rf.where(F.length("_form") > SEGMENT_CHARS), method, min_score))
