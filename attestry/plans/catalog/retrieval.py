@@ -9,7 +9,7 @@ from attestry.functions import similarity as S
 from attestry.functions import tokens as T
 from attestry.functions.vectors import hashed_vectors
 from attestry.operators import fusion, lexical, vector
-from attestry.params import Params
+from attestry.operators.containment import containing
 from attestry.plans import hybrid
 from attestry.plans.catalog import register
 from attestry.plans.catalog import sql as Q
@@ -291,17 +291,10 @@ TRUTH = "truth AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contai
 
 
 def truth_of(spark, sf) -> DataFrame:
-    """Documents that contain a benchmark passage verbatim.
-
-    The containing documents are found through the passage's rarest term, an equi join on the postings; only
-    those candidates are compared as strings."""
-    idx = lexical_of(spark, sf)
-    q = queries_of(spark, sf)
-    rare = lexical.query_terms(q).join(idx.terms, "term").groupBy("query_id").agg(
-        F.min_by("term", F.struct("df", "term")).alias("term"))
-    cand = rare.join(idx.postings.select("term", "doc_id"), "term").select("query_id", "doc_id")
-    texts = load_table(spark, sf, "documents").select("doc_id", F.col("text").alias("d_text"))
-    return cand.join(q, "query_id").join(texts, "doc_id").where(F.col("d_text").contains(F.col("text"))).select("query_id", "doc_id")
+    """Documents that contain a benchmark passage verbatim."""
+    texts = load_table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    found = containing(texts, queries_of(spark, sf).withColumnRenamed("query_id", "passage_id"))
+    return found.select(F.col("passage_id").alias("query_id"), F.col("text_id").alias("doc_id"))
 
 
 @register("r25_retrieval_eval", LEX + "," + TRUTH + """,

@@ -105,3 +105,34 @@ def test_alignment_and_corrections(spark):
     assert (var.entity, var.similar_to) == ("Gamcheonvilla", "Gamcheonville")
     t, e = F.lit("감천마을(벽화) 안내"), F.lit("감천마을 소개")
     assert spark.range(1).select(A.fix_parentheticals(t, e, "hangul")).first()[0] == "감천마을 안내"
+
+
+@pytest.mark.parametrize("score", [.8, .85, .95])
+@pytest.mark.parametrize("method", ["ratio", "token_sort"])
+def test_segments_lose_no_pair(spark, method, score):
+    """Words of every length, the empty one and some beyond the segment limit, with planted edits, against brute force."""
+    r = random.Random(int(score * 100))
+    left = ["", "a", "ab", "é"] + [w for n in range(1, 12) for w in words(6, n, (n, n), "abcé")] + words(8, 77, (20, 34), "abcdefgh")
+    right = ["", "b", "ab"] + [w for n in range(1, 12) for w in words(6, 50 + n, (n, n), "abcé")]
+    for w in left:
+        edited = list(w)
+        for _ in range(r.randint(0, 4)):
+            at = r.randint(0, len(edited))
+            if edited and r.random() < .5:
+                edited.pop(min(at, len(edited) - 1))
+            else:
+                edited.insert(at, r.choice("abcx"))
+        right.append("".join(edited))
+    df = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    got = {(x.left_id, x.right_id) for x in J.fuzzy_join(df(left), df(right), method, score, best_only=False).collect()}
+    assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if Z.METHODS[method](a, b) >= 100 * score - 1e-7}
+
+
+def test_a_hot_segment_is_salted(spark):
+    """One key of many right rows is dealt to several parts and loses nothing."""
+    from attestry.scale import salted_join
+
+    left = spark.createDataFrame([("k", i) for i in range(5)] + [("other", 9)], "key string, l int")
+    right = spark.createDataFrame([("k", str(i)) for i in range(1000)] + [("other", "x")], "key string, r string")
+    got = salted_join(left, right, "key", "r", most=100)
+    assert got.count() == 5001 and got.distinct().count() == 5001 and got.columns == ["key", "l", "r"]

@@ -173,3 +173,44 @@ def test_plan_shapes(spark, sf):
     scan = plan("a1_type_counts")
     assert "ReadSchema: struct<" in scan and "user_id" not in scan.split("ReadSchema: struct<")[1].split(">")[0]
     assert "Exchange" not in plan("c1_chunk_blocks") and "Exchange" not in plan("p9_normalise")
+
+
+@pytest.mark.parametrize("seed,k", [(1, 3), (2, 10), (3, 1)])
+def test_pruned_search_equals_all_pairs(spark, seed, k):
+    """Random corpora with common and rare words, equal chunks (ties) and ids in queries."""
+    r = random.Random(seed)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    text = lambda n: " ".join(vocabulary[min(int(r.expovariate(.04)), 199)] for _ in range(n))
+    docs = [(i, i % 40, text(r.randint(1, 60))) for i in range(300)]
+    docs += [(300 + i, 40 + i, docs[i][2]) for i in range(20)]
+    queries = [(q, text(r.randint(1, 15)) + (f" {q}" if q % 3 == 0 else "")) for q in range(40)] + [(90, ""), (91, "unknown")]
+    index = lexical.index_of(lexical.build_lexical_index(spark.createDataFrame(docs, "chunk_id int, doc_id int, text string")).postings, store=True)
+    q = spark.createDataFrame(queries, "query_id int, text string")
+    rows = lambda prune: sorted(tuple(x) for x in lexical.bm25_topk(q, index, k, prune=prune).select("query_id", "rank", "chunk_id", "doc_id", "score").collect())
+    assert rows(True) == rows(False) and len(rows(True)) >= 40 * min(k, 2)
+
+
+def test_search_stops_reading_common_terms():
+    """The lists behind the threshold are looked up for the survivors only, with the same result."""
+    import numpy as np
+
+    n = 1000
+    doc = np.concatenate([np.arange(3), np.arange(n)])
+    part = np.concatenate([np.full(3, 1.0), np.full(n, 0.5)])
+    best, value = lexical.best_of_lists([(10.0, "rare", 10.0, 0, 3), (0.5, "common", 1.0, 3, 3 + n)], doc, part, score := np.zeros(n), 3)
+    assert best.tolist() == [0, 1, 2] and value.tolist() == [10.5] * 3 and not score.any()
+
+
+def test_only_a_partial_match_lifts_a_hit(spark):
+    """A keyword that the text holds only in a near form brings the hit over the relevance floor."""
+    from attestry.operators import fusion
+
+    chunks = spark.createDataFrame([(1, 1, "zzzz planetarium qqqq xxxx"), (2, 2, "zzzz qqqq xxxx vvvv")], "chunk_id int, doc_id int, text string")
+    queries = spark.createDataFrame([(7, "planetariun")], "query_id int, text string")
+    hits = spark.createDataFrame([(7, c, c, .01) for c in (1, 2)], "query_id int, chunk_id int, doc_id int, rrf_score double")
+    index = lexical.build_lexical_index(chunks)
+    for postings in (None, index.postings):
+        rel = {x.chunk_id: x.keyword_relevance for x in fusion.with_keyword_relevance(hits, queries, chunks, postings=postings).collect()}
+        assert rel[1] - .25 < .3 and rel[1] >= .25 > .15 > rel[2]
+        kept = fusion.relevance_filter(fusion.with_keyword_relevance(hits, queries, chunks, postings=postings)).collect()
+        assert {x.chunk_id for x in kept} == {1}
