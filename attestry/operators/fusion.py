@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.similarity import keyword_parts, keyword_score, missing_keywords
 from attestry.functions.tokens import char_ngrams, extract_keywords
-from attestry.operators.fuzzyjoin import chunk_words, keyword_links, linked_keywords, posting_words
+from attestry.operators.fuzzyjoin import chunk_words, keyword_links, linked_keywords, posting_words, vocabulary
 from attestry.operators.lexical import top_k
 from attestry.params import Params
 from attestry.scale import cut_lineage, spread
@@ -48,9 +48,10 @@ def with_keyword_relevance(
         *hits.columns, keyword_parts(F.col("_kw"), F.col("_text"), F.col("_grams")).alias("_parts"),
         missing_keywords(F.col("_kw"), F.col("_text")).alias("_missing")))
     missing = measured.select("query_id", "chunk_id", F.explode("_missing").alias("keyword"))
-    words = chunk_words(touched, script) if postings is None else posting_words(postings, touched, script)
     if links is None:
-        links = keyword_links(kws.select(F.explode(F.transform("_kw", lambda k: F.lower(k))).alias("keyword")), words.select("word").distinct())
+        known = chunk_words(touched, script).select("word").distinct() if postings is None else vocabulary(postings, script)
+        links = cut_lineage(keyword_links(kws.select(F.explode(F.transform("_kw", lambda k: F.lower(k))).alias("keyword")), known))
+    words = cut_lineage(chunk_words(touched, script)) if postings is None else posting_words(postings, touched, links, script)
     found = missing.join(linked_keywords(missing, links, words), ["chunk_id", "keyword"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
     share = F.coalesce(F.col("_n"), F.lit(0)) / F.greatest(F.col("_parts.n"), F.lit(1))
     out = measured.join(found, ["query_id", "chunk_id"], "left")

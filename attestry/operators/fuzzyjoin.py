@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry import params as P
@@ -25,6 +25,8 @@ from attestry.scale import cut_lineage, salted_join, spread
 EPS = 1e-9
 #: Digits of an occurrence number: a string has fewer than 2**31 characters, so none is ever cut.
 OCCURRENCE_DIGITS = 10
+#: Linked words of a keyword that are looked up first.
+COMMON_LINKS = 4
 #: Right strings of up to this many characters are cut into segments, longer ones matched by their rarest characters.
 SEGMENT_CHARS = 24
 #: Below it a string can need more segments than it has characters.
@@ -148,7 +150,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, method: str = "ratio", m
     right_keys = cut_lineage(_segment_keys(rf, at_right, "r"))  # read twice: counted by key and joined
     short = salted_join(_segment_keys(lf, at_left, "l"), right_keys, "key", "r_text")
     short = short.where(_masks_fit(min_score)).select("l_text", "r_text").distinct()
-    empty = lf.where("_form = ''").select(F.col("_s").alias("l_text")).join(rf.where("_form = ''").select(F.col("_s").alias("r_text")))
+    # strings without characters (white space under token_sort) equal each other only
+    empty = lf.where(F.length("_form") == 0).select(F.col("_s").alias("l_text"), "_form").join(
+        rf.where(F.length("_form") == 0).select(F.col("_s").alias("r_text"), "_form"), "_form").select("l_text", "r_text")
     long_left = lf.where(F.length("_form") >= math.ceil((SEGMENT_CHARS + 1) * min_score / (2 - min_score) - EPS))
     return short.unionByName(empty).unionByName(_prefix_candidates(long_left, rf.where(F.length("_form") > SEGMENT_CHARS), method, min_score))
 
@@ -225,20 +229,36 @@ def chunk_words(chunks: DataFrame, script: str = "any") -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(find_all(F.lower("text"), f"[{WORD_CLASS[script]}]{{2,}}"))).alias("word"))
 
 
-def posting_words(postings: DataFrame, chunks: DataFrame, script: str = "any", stop=P.STOP_WORDS) -> DataFrame:
-    """(chunk_id, word) as ``chunk_words``, from an index: its postings, and from the texts only the words it leaves out."""
-    own = postings.where(F.col("term").rlike(f"^[{WORD_CLASS[script]}]{{2,}}$")).select("chunk_id", F.col("term").alias("word"))
-    left_out = [w for w in stop if len(w) >= 2]
+def posting_words(postings: DataFrame, chunks: DataFrame, links: DataFrame, script: str = "any", stop=P.STOP_WORDS) -> DataFrame:
+    """(chunk_id, word) for ``linked_keywords``, from an index: its postings, and from the texts only those words the index
+    leaves out that some link asks for."""
+    own = postings.select("chunk_id", F.col("term").alias("word"))
+    left_out = [r[0] for r in links.where(F.col("word").isin(*stop)).select("word").distinct().collect()]  # of the stop list
     if not left_out:
         return own
     some = chunks.where(F.lower("text").rlike("|".join(left_out)))
     return own.unionByName(chunk_words(some, script).where(F.col("word").isin(*left_out)))
 
 
+def vocabulary(postings: DataFrame, script: str = "any", stop=P.STOP_WORDS) -> DataFrame:
+    """(word): the words of two letters and more in an index, and those it leaves out."""
+    own = postings.select(F.col("term").alias("word")).distinct().where(F.col("word").rlike(f"^[{WORD_CLASS[script]}]{{2,}}$"))
+    left_out = postings.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in stop if len(w) >= 2] or [F.lit("")])).alias("word")).where("word <> ''")
+    return own.unionByName(left_out).distinct()
+
+
 def linked_keywords(missing: DataFrame, links: DataFrame, words: DataFrame) -> DataFrame:
-    """R14. The (chunk_id, keyword) rows of ``missing`` for which the chunk holds a linked word."""
-    asked = missing.select("chunk_id", "keyword").distinct().join(links, "keyword")
-    return asked.join(words, ["chunk_id", "word"], "left_semi").select("chunk_id", "keyword").distinct()
+    """R14. The (chunk_id, keyword) rows of ``missing`` for which the chunk holds a linked word.
+
+    A keyword's commonest linked words are looked up first and settle nearly all rows; the others only for what is left."""
+    asked = cut_lineage(missing.select("chunk_id", "keyword").distinct())
+    share = words.join(links.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = links.join(share, "word").withColumn("_r", F.row_number().over(Window.partitionBy("keyword").orderBy(F.col("_n").desc(), "word")))
+    ranked = cut_lineage(ranked.select("keyword", "word", (F.col("_r") <= COMMON_LINKS).alias("common")))
+    hold = lambda rows, some: rows.join(ranked.where(some).select("keyword", "word"), "keyword").join(
+        words, ["chunk_id", "word"], "left_semi").select("chunk_id", "keyword").distinct()
+    settled = cut_lineage(hold(asked, "common"))
+    return settled.unionByName(hold(asked.join(settled, ["chunk_id", "keyword"], "left_anti"), "not common"))
 
 
 def partial_matches(pairs: DataFrame, chunks: DataFrame, script: str = "any", min_score: float = 0.8) -> DataFrame:
@@ -251,5 +271,6 @@ def partial_matches(pairs: DataFrame, chunks: DataFrame, script: str = "any", mi
     both = F.struct("_t", "_k")
     missing = asked.join(texts, "chunk_id").select("query_id", "chunk_id", F.explode(let(both, lambda b: F.filter(b["_k"], lambda k: ~b["_t"].contains(k)))).alias("keyword"))
     words = chunk_words(chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi"), script)
-    links = keyword_links(missing, words.select("word").distinct(), min_score)
+    missing, words = cut_lineage(missing), cut_lineage(words)
+    links = cut_lineage(keyword_links(missing, words.select("word").distinct(), min_score))
     return missing.join(linked_keywords(missing, links, words), ["chunk_id", "keyword"]).select("query_id", "chunk_id", "keyword").distinct()

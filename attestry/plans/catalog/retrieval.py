@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import similarity as S
 from attestry.functions import tokens as T
 from attestry.functions.vectors import hashed_vectors
-from attestry.operators import fusion, lexical, vector
+from attestry.operators import cells, fusion, lexical, vector
 from attestry.operators.containment import containing
 from attestry.plans import hybrid
 from attestry.plans.catalog import register
@@ -123,10 +123,22 @@ def r6(spark, sf):
     return vector.vector_topk(q, v, 10)
 
 
+@register("r6_pruned_topk", EMB_SQL.format(where="", k=10))
+def r6c(spark, sf):
+    q, v = _emb(spark, sf)
+    return cells.pruned_topk(q, v, 10)
+
+
+@register("r6_pruning_report")
+def r6b(spark, sf):
+    q, v = _emb(spark, sf)
+    return cells.pruning_report(q, v, 10)
+
+
 @register("r20_similar", EMB_SQL.format(where="WHERE a.vec_id <> b.vec_id", k=5))
 def r20(spark, sf):
     q, v = _emb(spark, sf)
-    return vector.vector_topk(q, v, 5, exclude_self=True)
+    return cells.pruned_topk(q, v, 5, exclude_self=True)
 
 
 @register("r7_embed", f"""
