@@ -25,6 +25,8 @@ FILTERS = 12
 #: Labelled texts used for training, at most: so many of each language and so many in all, by hashed doc_id.
 PER_LANGUAGE = 1500
 SAMPLE = 8000
+#: Parts in which a language's rows are ranked first.
+PARTS = 64
 #: Windows of a training text, evenly spread over it.
 SPREAD = 4
 EPOCHS = 8
@@ -130,9 +132,12 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
 
 def fit(labelled: DataFrame) -> Network | None:
     """Train on rows (doc_id, text, lang); at most ``SAMPLE`` texts and ``SPREAD`` windows of each reach the driver."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = labelled.where("doc_id is not null and lang is not null and text rlike '\\\\p{L}'").select("doc_id", "lang")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).orderBy("n", "lang").limit(SAMPLE).select("doc_id", "lang")
+    # the first of a language are among the first of its parts, so that no task ranks a whole language
+    ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(PARTS)), F.lit(PARTS)))
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("n") <= PER_LANGUAGE)
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= PER_LANGUAGE).orderBy("n", "lang").limit(SAMPLE).select("doc_id", "lang")
     # at most SAMPLE rows are broadcast
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"])
 
