@@ -1,8 +1,8 @@
 """Operator 2: benchmark decontamination on templates, in DataFrame functions only.
 
 Words become lower-case letters; numbers, names and units become typed placeholders.  Windows of template words are
-hash-joined with the benchmark's, and on every alignment found the values behind the placeholders must map one to
-one, so that a question asked again with other numbers or names is caught and a chance likeness is not.  Items whose
+hash-joined with the benchmark's, and on every alignment found the windows whose placeholders do not map one to
+one are left out, so that a question asked again with other numbers or names is caught and a chance likeness is not.  Items whose
 template says too little (windows that are mostly placeholders, or passages without spaces) are matched verbatim as well.
 """
 
@@ -45,17 +45,22 @@ def tokens_of(text: Column) -> Column:
 def template_of(words: Column) -> Column:
     """The template word of each word; a name is a capitalised word that does not begin a sentence."""
 
-    def canon(w: Column, i: Column) -> Column:
-        letters = F.regexp_replace(w, r"\P{L}+", "")
-        low = F.lower(letters)
-        before = F.when(i > 0, F.element_at(words, i)).otherwise(F.lit("."))
+    def parts(w: Column) -> Column:
+        return F.struct(w.alias("word"), F.regexp_replace(w, r"\P{L}+", "").alias("letters"), w.rlike(r"\p{N}").alias("digit"))
+
+    def canon(known: Column, x: Column, i: Column) -> Column:
+        low = F.lower(x["letters"])
+        before = F.element_at(known, i)
+        begins = F.when(i > 0, before["word"].rlike(r"[.!?:;|]['\")\]]*$")).otherwise(True)
         return (
-            F.when(w.rlike(r"\p{N}"), F.lit(NUMBER))
-            .when(low.isin(*UNITS) & before.rlike(r"\p{N}"), F.lit(UNIT))
-            .when(letters.rlike(r"^\p{Lu}") & ~before.rlike(r"[.!?:;|]['\")\]]*$"), F.lit(NAME))
+            F.when(x["digit"], F.lit(NUMBER))
+            .when(low.isin(*UNITS) & F.when(i > 0, before["digit"]).otherwise(False), F.lit(UNIT))
+            .when(x["letters"].rlike(r"^\p{Lu}") & ~begins, F.lit(NAME))
             .otherwise(low))
 
-    return F.transform(words, canon)
+    # the parts of a word are found once, not again for each rule
+    once = F.transform(F.array(F.transform(words, parts)), lambda known: F.transform(known, lambda x, i: canon(known, x, i)))
+    return F.element_at(once, 1)
 
 
 def _windows(template: Column, hashes: Column, length: int) -> Column:
@@ -125,7 +130,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """(doc_id, contaminated, n_items, item_ids, best_coverage) of each row of ``docs`` (columns doc_id, text).
 
     A text is contaminated by an item (columns item_id, text) if at least ``coverage`` of the item's windows stand in
-    it on alignments whose placeholders map one to one.  Items with windows that are mostly placeholders, and items of
+    it, and a window counts where its placeholders map one to one over the whole alignment: one value changed against
+    the others spoils the windows that hold it and no more, and values left as they were never spoil one.  Items with windows that are mostly placeholders, and items of
     fewer than ``SHORTEST`` words but as many tokens (an unspaced passage), also count by the share of their token
     windows that stand in the text verbatim.  Null and empty texts hold nothing; a null item_id or an item of fewer
     than ``SHORTEST`` words and tokens matches nothing; rows of one item_id with different texts count as one
@@ -157,13 +163,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     same = lambda r: F.slice("template", r["q"] + F.col("shift"), r["length"]) == F.slice("item_template", r["q"], r["length"])
     runs = runs.withColumn("runs", F.filter("runs", same)).where(F.size("runs") > 0)
     at = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["q"], r["q"] + r["length"] - 1))))
-    runs = settle(runs.select(*line, "n_windows", F.transform("runs", lambda r: r["q"]).alias("qs"), F.transform(
+    runs = settle(runs.select(*line, "n_windows", "runs", F.transform(
         F.filter(at, lambda q: F.element_at("item_template", q).isin(NUMBER, NAME, UNIT)),
-        lambda q: F.struct(F.element_at("item_template", q).alias("kind"), _slot(F.element_at("item_words", q)).alias("asked"), _slot(F.element_at("words", q + F.col("shift"))).alias("given"))).alias("slots")))
-    slots = runs.select(*line, F.explode("slots").alias("s")).select(*line, "s.kind", "s.asked", "s.given").distinct()
-    clash = slots.groupBy(*line, "kind", "asked").count().where("count > 1").select(*line)
-    clash = clash.unionByName(slots.groupBy(*line, "kind", "given").count().where("count > 1").select(*line)).distinct()
-    sound = runs.join(clash, line, "left_anti")
+        lambda q: F.struct(q.alias("q"), F.element_at("item_template", q).alias("kind"), _slot(F.element_at("item_words", q)).alias("asked"), _slot(F.element_at("words", q + F.col("shift"))).alias("given"))).alias("slots")))
+    slots = runs.select(*line, F.explode("slots").alias("s")).select(*line, "s.q", "s.kind", "s.asked", "s.given").distinct()
+    changed = slots.where("asked <> given")
+    clash = [changed.join(slots.groupBy(*line, "kind", one).agg(F.min(other).alias("a"), F.max(other).alias("z")).where("a <> z"), [*line, "kind", one], "left_semi").select(*line, "q")
+             for one, other in (("asked", "given"), ("given", "asked"))]
+    clash = clash[0].unionByName(clash[1]).groupBy(*line).agg(F.collect_set("q").alias("clashes"))
+    sound = runs.join(clash, line, "left").withColumn("clashes", F.coalesce("clashes", F.array().cast("array<int>")))
+    free = lambda r: ~F.exists("clashes", lambda q: q.between(r["q"], r["q"] + r["length"] - 1))
+    sound = sound.select("k1", "k2", "item_id", "n_windows", F.filter("runs", free)["q"].alias("qs")).where(F.size("qs") > 0)
     scored = sound.groupBy("k1", "k2", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("qs")))) / F.first("n_windows")).alias("share"))
     verbatim = literal_shares(docs.select(*keys, "text"), benchmark, window)
     if verbatim is not None:

@@ -94,8 +94,10 @@ _CANON = rf"""list_transform(w, lambda x, i: CASE
   WHEN lower(regexp_replace(x, '\P{{L}}+', '', 'g')) IN ({_UNITS}) AND i > 1 AND regexp_matches(w[i - 1], '\p{{N}}') THEN '@'
   WHEN regexp_matches(regexp_replace(x, '\P{{L}}+', '', 'g'), '^\p{{Lu}}') AND NOT (i = 1 OR regexp_matches(w[i - 1], '[.!?:;|][''")\]]*$')) THEN '$'
   ELSE lower(regexp_replace(x, '\P{{L}}+', '', 'g')) END)"""
+_BARE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_TOKENS = rf"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([{_BARE}])', ' \1 ', 'g'), '[{_BARE}\p{{L}}\p{{M}}\p{{N}}]+')"
 OP2_SQL = rf"""
-WITH bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH bw AS (SELECT item_id, text, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, w, {_CANON} AS t FROM bw WHERE len(w) >= 5),
 dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 d AS MATERIALIZED (SELECT r, doc_id, w, {_CANON} AS t FROM dw),
@@ -107,15 +109,26 @@ di AS (SELECT r, unnest(range(1, len(t) - n + 2)) AS p, n, t FROM d, (SELECT DIS
 m AS (SELECT DISTINCT di.r, bq.item_id, bq.w AS bw, bq.t AS bt, di.p - bq.q AS shift, bq.q, bq.n
       FROM (SELECT r, p, n, t[p : p + n - 1] AS win FROM di) di JOIN bq ON di.win = bq.win AND di.n = bq.n),
 a AS (SELECT DISTINCT r, item_id, shift, bw, bt, unnest(range(q, q + n)) AS j FROM m),
-s AS (SELECT DISTINCT a.r, item_id, shift, bt[j] AS kind,
+s AS (SELECT DISTINCT a.r, item_id, shift, j, bt[j] AS kind,
         lower(regexp_replace(bw[j], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS asked,
         lower(regexp_replace(d.w[j + shift], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS given
       FROM a JOIN d ON d.r = a.r WHERE bt[j] IN ('#', '$', '@')),
-c AS (SELECT r, item_id, shift FROM s GROUP BY r, item_id, shift, kind, asked HAVING count(*) > 1
-      UNION SELECT r, item_id, shift FROM s GROUP BY r, item_id, shift, kind, given HAVING count(*) > 1),
-k AS (SELECT m.r, m.item_id, count(DISTINCT m.q) / any_value(bn.n_windows) AS share
-      FROM m JOIN bn ON bn.item_id = m.item_id ANTI JOIN c ON c.r = m.r AND c.item_id = m.item_id AND c.shift = m.shift GROUP BY m.r, m.item_id),
-f AS (SELECT r, max(share) AS best, coalesce(list(item_id ORDER BY item_id) FILTER (share >= 0.5), []) AS ids FROM k GROUP BY r)
+c AS (SELECT DISTINCT r, item_id, shift, j FROM (SELECT *,
+        min(given) OVER (PARTITION BY r, item_id, shift, kind, asked) <> max(given) OVER (PARTITION BY r, item_id, shift, kind, asked)
+        OR min(asked) OVER (PARTITION BY r, item_id, shift, kind, given) <> max(asked) OVER (PARTITION BY r, item_id, shift, kind, given) AS clash FROM s)
+      WHERE clash AND asked <> given),
+k AS (SELECT m.r, m.item_id, count(DISTINCT m.q) / any_value(bn.n_windows) AS share FROM m JOIN bn ON bn.item_id = m.item_id
+      ANTI JOIN c ON c.r = m.r AND c.item_id = m.item_id AND c.shift = m.shift AND c.j BETWEEN m.q AND m.q + m.n - 1 GROUP BY m.r, m.item_id),
+vt AS (SELECT item_id, {_TOKENS} AS tk, {_CANON} AS t, least(8, len(w)) AS n FROM bw),
+vb AS (SELECT DISTINCT item_id, tk, least(8, len(tk)) AS n FROM vt WHERE len(tk) >= 5 AND (len(t) < 5 OR len(list_filter(range(1, len(t) - n + 2),
+        lambda q: 2 * len(list_filter(t[q : q + n - 1], lambda x: x NOT IN ('#', '$', '@'))) < n)) > 0)),
+vq AS MATERIALIZED (SELECT item_id, n, q, tk[q : q + n - 1] AS win FROM (SELECT *, unnest(range(1, len(tk) - n + 2)) AS q FROM vb)),
+vn AS (SELECT item_id, count(DISTINCT q) AS n_windows FROM vq GROUP BY item_id),
+vd AS (SELECT row_number() OVER () AS r, {_TOKENS} AS tk FROM documents WHERE (SELECT count(*) FROM vq) > 0),
+vw AS (SELECT DISTINCT r, n, tk[p : p + n - 1] AS win FROM (SELECT r, n, tk, unnest(range(1, len(tk) - n + 2)) AS p FROM vd, (SELECT DISTINCT n FROM vq) WHERE len(tk) >= n)),
+v AS (SELECT r, vq.item_id, count(DISTINCT q) / any_value(n_windows) AS share FROM vw JOIN vq ON vw.win = vq.win AND vw.n = vq.n JOIN vn ON vn.item_id = vq.item_id GROUP BY r, vq.item_id),
+u AS (SELECT r, item_id, max(share) AS share FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY r, item_id),
+f AS (SELECT r, max(share) AS best, coalesce(list(item_id ORDER BY item_id) FILTER (share >= 0.5), []) AS ids FROM u GROUP BY r)
 SELECT d.doc_id, coalesce(len(f.ids), 0) > 0 AS contaminated, CAST(coalesce(len(f.ids), 0) AS BIGINT) AS n_items,
        coalesce(f.ids, []) AS item_ids, coalesce(f.best, 0.0) AS best_coverage
 FROM d LEFT JOIN f ON f.r = d.r
