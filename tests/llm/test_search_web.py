@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 
 from attestry.llm import decontaminate, htmltext, maxscore, urltrust
+from attestry.llm.queries import OP2_SQL
 
 
 @pytest.fixture(scope="module")
@@ -82,14 +84,58 @@ def test_items_without_literal_windows_match_verbatim(spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [], 8: [], 9: []}
 
 
+RENAMED = (
+    "In the evening a tired baker named Smith counts every loaf on the long shelf beside the door because nobody told old Smith that bread is cheap.")
+
+
+def test_one_changed_value_spoils_its_windows_only(spark):
+    bench = spark.createDataFrame([(1, RENAMED), (2, "LIST ALL RIVERS OF THE WORLD THAT FLOW NORTH AND END THERE"), (3, "昔々あるところにおじいさん")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, RENAMED), (2, RENAMED.replace("old Smith", "old Jones")), (3, RENAMED.replace("Smith", "Jones")), (4, RENAMED.replace("named Smith", "named Miller").replace("old Smith", "old Jones")),
+        (5, "so: list all rivers of the world that flow north and end there"), (6, "これは昔々あるところにおじいさん。"), (7, None), (7, "nothing of the kind")], "doc_id long, text string")
+    out = decontaminate.contamination(docs, bench).drop("k1", "k2")
+    got = {(r.doc_id, *r.item_ids): round(r.best_coverage, 3) for r in out.collect()}
+    # 27 words, 20 windows: the second name (word 23) stands in 5 of them, the first (word 8) in 8
+    assert got == {(1, 1): 1.0, (2, 1): 15 / 20, (3, 1): 1.0, (4,): 7 / 20, (5, 2): 1.0, (6, 3): 1.0, (7,): 0.0}
+    db = duckdb.connect()
+    for name, table in (("documents", docs), ("benchmark", bench)):
+        db.register(name, table.toArrow())
+    rows = db.sql(OP2_SQL).fetchall()
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in out.collect())
+
+
 PAGE = (
     "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li>a<li>b</ul></nav><div class='ad'>buy</div>"
     "<article><h1>Head&amp;Tail</h1><p><b>One<br>two<p>Thr&eacute;e &#65;</p><div class='share-box'>share</div><script>var x='<p>no</p>';</script></article>"
     "<section id='comments'><p>first!</p></section><!-- c --><footer>f</footer>")
 
 
+def test_recurring_subtrees_inside_main(spark):
+    """Menus and boxes that stand on many different pages of a host go, also inside main; copies of a page lose nothing."""
+    menu = "<ul><li><a href=/a>Alpha</a><li><a href=/b>Beta</a></ul><div><p>Write to us every day</p></div>"
+    own = lambda i: "<p>Same opening line</p><h2>Summary</h2><ul><li>one<li>two</ul>" + "".join(f"<p>text {i} {j}</p>" for j in range(9))
+    rows = [(i, f"http://a.org/{i}", f"<main>{menu}{own(i)}</main>") for i in range(6)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<main>{menu}<section>{own(0)}</section></main>") for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: "\n\n".join(["Same opening line", "Summary", "one", "two", *(f"text {i} {j}" for j in range(9))])
+    assert [got[i] for i in range(6)] == [text(i) for i in range(6)]
+    assert {got[i] for i in range(10, 16)} == {"Alpha\n\nBeta\n\nWrite to us every day\n\n" + text(0)}
+
+
 def test_main_text():
     assert htmltext.main_text(htmltext.parse(PAGE), set()) == "Head&Tail\n\nOne two\n\nThrée A"
+    of = lambda page: htmltext.main_text(htmltext.parse(page), set())
+    long = "word " * 60
+    assert of(f"<body><div class='page no-sidebar'><p>{long}</p></div></body>") == long.strip()
+    assert of(f"<body><form id=f><div><p>{long}</p><input><button>go</button></div></form></body>") == long.strip()
+    assert of(f"<main><form><p>{long}</p></form></main>") == long.strip()
+    assert of(f"<body><form><p>Your name</p></form><p>{long}</p></body>") == long.strip()
+    assert of(f"<main><article><p>{long}</p></article><article class='comment'><p>first</p></article></main>") == long.strip()
+    assert of(f"<section class='comments'><article>{'noise ' * 200}</article></section><article><p>{long}</p></article>") == long.strip()
+    assert of(f"<aside><article class='teaser'>read on</article></aside><div class='comment-list'>a</div><article><p>{long}</p></article>") == long.strip()
+    assert of(f"<div class='layout-sidebar'><article><p>{long}</p></article><div class='sidebar-left'>x</div></div>") == long.strip()
+    assert of(f"<article class='post comments-open'><p>{long}</p></article>") == long.strip()
+    assert of("<nav>a</nav><div class='cookie-consent'>we use cookies</div>") == ""
     for broken in ("", "plain", "<", "<p", "<p>a<p>b</i>", "<script>x", "<!-- x", "</div></p>", "<div><p>a</div>b"):
         htmltext.main_text(htmltext.parse(broken), set())
     assert htmltext.main_text(htmltext.parse("<div><p>a</div>b"), set()) == "a\n\nb"
