@@ -277,7 +277,12 @@ def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
     host = F.xxhash64(host_of(F.coalesce("url", F.lit("")))).alias("host")
     keyed = pages.select("*", F.xxhash64("page_id", "url", "html").alias("key"), host)
     marks = settle(keyed.select("key", "host", "html").mapInArrow(_marks, "key long, host long, mark long, page long"))
-    often = marks.groupBy("host", "mark", "page").agg(F.lit(1).alias("one")).groupBy("host", "mark").count().where(F.col("count") >= least)
+    # a mark whose pages set so many of 64 bits is on so many pages; only where fewer bits are set are the pages themselves counted
+    bits = F.bit_count(F.bit_or(F.expr("shiftleft(1L, int(pmod(page, 64)))")))
+    count = settle(marks.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"), bits.alias("bits")).where(F.col("n") >= least))
+    unsure = settle(count.where(F.col("bits") < least).select("host", "mark"))
+    counted = marks.join(unsure, ["host", "mark"]).select("host", "mark", "page").distinct().groupBy("host", "mark").count().where(F.col("count") >= least)
+    often = count.where(F.col("bits") >= least).select("host", "mark").unionByName(counted.select("host", "mark"))
     found = marks.hint("merge").join(often.select("host", "mark"), ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("marks"))
     row = F.struct("page_id", "url").alias("row")
     joined = keyed.hint("merge").join(settle(found), "key", "left").select(row, "html", "marks")
