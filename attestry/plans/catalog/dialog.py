@@ -299,13 +299,14 @@ EVID = """ev AS (SELECT query_id, string_agg(CASE WHEN rank <= 2 THEN '[출처:
 
 
 @register("k8_carry_over", TH + f""", {EVID} SELECT q.query_id, substr(concat_ws(' ', nullif(array_to_string([trim(s) for s in string_split(text, '.')[1:5] if length(trim(s)) > 20], ' '), ''), snip), 1, 500) AS facts
- FROM q JOIN ev USING (query_id)""")
+ FROM q LEFT JOIN ev USING (query_id)""")
 def k8(spark, sf):
     d = load_table(spark, sf, "documents").select("doc_id", F.col("text").alias("d_text"))
-    ev = turn_hits(spark, sf).where("rank <= 2").join(d, "doc_id").groupBy("query_id").agg(
+    hits = turn_hits(spark, sf).where("rank <= 2").join(d, "doc_id").groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "doc_id", F.col("d_text").alias("text")))).alias("ev"))
     q = messages(spark, sf).where("role = 'user'").select((F.col("session_id") * 1_000_000_000 + F.col("seq")).alias("query_id"), "content")
-    return q.join(ev, "query_id").select("query_id", K.carry_over(F.col("content"), F.col("ev")).alias("facts"))
+    ev = F.coalesce("ev", F.array().cast(hits.schema["ev"].dataType))
+    return q.join(hits, "query_id", "left").select("query_id", K.carry_over(F.col("content"), ev).alias("facts"))
 
 
 @register("u2_token_set_jaccard", f"""WITH c AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
