@@ -214,3 +214,29 @@ def test_only_a_partial_match_lifts_a_hit(spark):
         assert rel[1] - .25 < .3 and rel[1] >= .25 > .15 > rel[2]
         kept = fusion.relevance_filter(fusion.with_keyword_relevance(hits, queries, chunks, postings=postings)).collect()
         assert {x.chunk_id for x in kept} == {1}
+
+
+def test_search_moves_each_posting_once(spark, monkeypatch):
+    """Many shards and packs that cut chunks in two give what scoring all pairs gives; postings are never repeated for blocks of queries."""
+    r = random.Random(5)
+    word = lambda: f"w{chr(97 + min(int(r.expovariate(.2)), 25))}{chr(97 + r.randint(0, 3))}"
+    docs = spark.createDataFrame([(i, i, " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(200)], "chunk_id int, doc_id int, text string")
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(9)) + f" {i}") for i in range(60)], "query_id int, text string")
+    index = lexical.index_of(lexical.build_lexical_index(docs).postings, store=True)
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", 150)
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 7, raising=False)
+    out = lexical.bm25_topk(q, index, 5)
+    plan = out._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") >= 3
+    rows = lambda df: sorted(tuple(x) for x in df.select("query_id", "rank", "chunk_id", "doc_id", "score").collect())
+    assert rows(out) == rows(lexical.bm25_topk(q, index, 5, prune=False))
+
+
+def test_packs_hold_whole_queries(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "PACK_TERMS", 4)
+    asked = pa.table({"query_id": [1, 1, 1, 2, 2, 2, 2, 2, 3], "term": list("abcabcdea"), "idf": [1.0] * 9, "avgdl": [2.0] * 9})
+    packs = [lexical._load(x) for b in lexical._pack_queries(iter(asked.to_batches(max_chunksize=2))) for x in b["pack"].to_pylist()]
+    ids = [set(p["query_id"].to_pylist()) for p in packs]
+    assert len(ids) > 1 and sum(map(len, ids)) == 3 and sum(p.num_rows for p in packs) == 9
