@@ -197,13 +197,21 @@ def match_substrings(text: Column, names: Sequence[str] = P.DEPARTMENTS) -> Colu
 def strip_suffix_terms(c: Column, names: Sequence[str] = P.DEPARTMENTS) -> Column:
     """L8. Up to ten times remove the longest listed name at the end: struct(title, removed in text order)."""
     alt = "|".join(rf"\Q{n}\E" for n in sorted(names, key=len, reverse=True))
-    pattern = rf"(?is)^(.*?)\s*({alt})\s*$"
+    space, longest = F.lit(" \t\n\x0b\f\r"), max(map(len, names))
 
     def step(acc: Column, _i: Column) -> Column:
-        hit = acc["title"].rlike(pattern)
-        return F.when(hit, F.struct(
-            F.trim(F.regexp_extract(acc["title"], pattern, 1)).alias("title"),
-            F.concat(F.array(F.regexp_extract(acc["title"], pattern, 2)), acc["removed"]).alias("removed"))).otherwise(acc)
+        title = acc["title"]
+        # A line may end behind the name and white space.
+        open_end = F.when(F.substring(title, -1, 1).isin("\x85", "\u2028", "\u2029"), F.left(title, F.length(title) - 1)).otherwise(title)
+
+        def cut(text: Column) -> Column:
+            # Only the end is searched: a pattern over the whole text would try every name at every place.
+            name = F.regexp_extract(F.right(text, F.lit(longest)), rf"(?is)(?:{alt})\z", 0)
+            return let(name, lambda n: F.when(n != "", F.struct(
+                F.trim(F.rtrim(F.left(text, F.length(text) - F.length(n)), space)).alias("title"),
+                F.concat(F.array(n), acc["removed"]).alias("removed"))).otherwise(acc))
+
+        return let(F.rtrim(open_end, space), cut)
 
     start = F.struct(join_department_spacing(c).alias("title"), F.array().cast("array<string>").alias("removed"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step)

@@ -203,3 +203,15 @@ def test_title_and_body(spark):
     assert (got["title"], got["body"]) == ("제목", "- 첫 문장.\n둘째 문장 셋째")
     assert val(spark, X.split_title_body(s("○ 제목")))["body"] == ""
     assert val(spark, X.page_category(s("a\n훈 시\nb"))) == "훈시"
+
+
+def test_suffix_names_of_a_long_text(spark):
+    """Only the end is searched: the time does not grow with names times characters."""
+    import time
+
+    body = "가나 다라 " * 300_000
+    spark.range(1).select(layout.strip_suffix_terms(s("x 총무과"))).collect()
+    began = time.time()
+    got = val(spark, F.struct(F.length(layout.strip_suffix_terms(F.repeat(s("가나 다라 "), 300_000))["title"]).alias("n"),
+                              layout.strip_suffix_terms(F.concat(F.repeat(s("가나 다라 "), 300_000), s("감사실  총무과 \r\n ")))["removed"].alias("removed")))
+    assert (got["n"], got["removed"]) == (len(body), ["감사실", "총무과"]) and time.time() - began < 8
