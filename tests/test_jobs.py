@@ -240,3 +240,16 @@ def test_packs_hold_whole_queries(monkeypatch):
     packs = [lexical._load(x) for b in lexical._pack_queries(iter(asked.to_batches(max_chunksize=2))) for x in b["pack"].to_pylist()]
     ids = [set(p["query_id"].to_pylist()) for p in packs]
     assert len(ids) > 1 and sum(map(len, ids)) == 3 and sum(p.num_rows for p in packs) == 9
+
+
+def test_index_tasks_follow_the_text(spark, monkeypatch):
+    """More text is counted by more tasks, and a chunk that comes in two rows still has one posting a term."""
+    docs = spark.range(40).selectExpr("id AS chunk_id", "id AS doc_id", "repeat(concat('alpha beta', id, ' alpha '), 20) AS text")
+    docs = docs.unionByName(docs.where("chunk_id = 3"))
+    rows = lambda index: sorted(tuple(r) for r in index.postings.collect())
+    want = rows(lexical.build_lexical_index(docs))
+    monkeypatch.setattr(lexical, "TASK_TEXT", 500)
+    index = lexical.build_lexical_index(docs)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert index.postings.rdd.getNumPartitions() == -(-size // 500) > 4
+    assert rows(index) == want and (3, 3, 80, "alpha", 80) in want
