@@ -6,15 +6,19 @@ the unit of ordering; everything is partitioned by (doc_id, page) and repeated w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry import params as P
 from attestry.functions.normalize import collapse, let, replace
 from attestry.functions.patterns import find_all, join_department_spacing
-from attestry.operators.chunking import ordered_fold
+from attestry.scale import cut_lineage
 
 PAGE = ["doc_id", "page"]
 
@@ -24,28 +28,81 @@ def _page(*order: Column | str) -> Window:
     return w.orderBy(*order) if order else w
 
 
-class _Anchors:
-    """Assign each word to the first row whose opening word is within ``tol``."""
-
-    def __init__(self, tol: float):
-        self.tol, self.rows = tol, []
-
-    def push(self, row) -> list[dict]:
-        y = (row.y0 + row.y1) / 2
-        no = next((i for i, a in enumerate(self.rows) if abs(y - a) < self.tol), None)
-        if no is None:
-            no = len(self.rows)
-            self.rows.append(y)
-        return [{**row._asdict(), "row_y": self.rows[no]}]
-
-    def flush(self) -> list[dict]:
-        return []
+def _changes(table: pa.Table, keys: Sequence[str], last: pa.Table | None) -> np.ndarray:
+    """Per row whether a key differs from the row before; the first row is compared with ``last``, one row or none."""
+    both = table.select(keys) if last is None else pa.concat_tables([last.select(keys), table.select(keys)])
+    n, new = both.num_rows, np.zeros(both.num_rows, dtype=bool)
+    new[0] = True
+    for c in both.columns:
+        a, b = c.slice(0, n - 1), c.slice(1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= ~same.to_numpy()
+    return new[n - table.num_rows:]
+
+
+def _anchored(tol: float):
+    """Batches sorted by page -> the same with ``row_y``.  A height is matched once a page; its later words follow it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known, last = [], {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            y = pc.divide(pc.add(t["y0"], t["y1"]).cast(pa.float64()), 2.0).to_numpy()
+            opens = _changes(t, PAGE, last)
+            starts = np.flatnonzero(opens | np.append(True, y[1:] != y[:-1]))
+            placed = np.empty(len(starts))
+            for i, (at, opened) in enumerate(zip(y[starts].tolist(), opens[starts].tolist(), strict=True)):
+                if opened:
+                    rows, known = [], {}
+                if at not in known:
+                    near = next((a for a in rows if abs(at - a) < tol), None)
+                    if near is None:
+                        rows.append(near := at)
+                    known[at] = near
+                placed[i] = known[at]
+            row_y = np.repeat(placed, np.diff(np.append(starts, len(y))))
+            last = t.slice(len(y) - 1)
+            yield from t.append_column("row_y", pa.array(row_y)).to_batches()
+
+    return run
 
 
 def anchor_rows(words: DataFrame, tol: float) -> DataFrame:
-    """Rows of a page by vertical centre, each keyed by its first word's centre (``row_y``)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", row_y double"
-    return ordered_fold(words, PAGE, ["y0", "x0"], lambda: _Anchors(tol), schema)
+    """Rows of a page by vertical centre: a word belongs to the first row whose opening word is within ``tol``; each
+    row is keyed by that word's centre (``row_y``)."""
+    schema = T.StructType([*words.schema.fields, T.StructField("row_y", T.DoubleType())])
+    return words.repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0").mapInArrow(_anchored(tol), schema)
+
+
+def _joined(keys: Sequence[str]):
+    """Batches sorted by ``keys`` -> one row a key with its texts joined by spaces; nulls are left out."""
+    def merge(t: pa.Table) -> pa.Table:
+        starts = np.flatnonzero(_changes(t, keys, None))
+        text = t["text"].combine_chunks()
+        before = np.append(0, np.cumsum(text.is_valid().to_numpy(zero_copy_only=False)))
+        ends = before[np.append(starts, t.num_rows)]
+        cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text.drop_null())
+        return t.select(keys).take(pa.array(starts)).append_column("cell", pc.binary_join(cells, " "))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the words of the last cell, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            opens = np.flatnonzero(_changes(t, keys, held[-1].slice(held[-1].num_rows - 1) if held else None))
+            if not len(opens):
+                held.append(t)
+                continue
+            done = pa.concat_tables([*held, t.slice(0, opens[-1])])
+            if done.num_rows:
+                yield from merge(done).to_batches()
+            held = [t.slice(opens[-1])]
+        if held:
+            yield from merge(pa.concat_tables(held)).to_batches()
+
+    return run
 
 
 def column_edges(words: DataFrame, pages: DataFrame, mode: str = "gaps") -> DataFrame:
@@ -138,14 +195,16 @@ def assign_by_interval(blocks: DataFrame, rows: DataFrame, slack: float = 5.0) -
     and first row after each end), so no block x row pairs are formed for it.
     """
     key = [*PAGE, "block_no"]
-    r = rows.groupBy(*PAGE, "y_center").agg(F.flatten(F.collect_list("labels")).alias("labels"))
+    # Both are read several times below.
+    blocks = cut_lineage(blocks.select(*key, "y_top", "y_bottom"))
+    r = cut_lineage(rows.groupBy(*PAGE, "y_center").agg(F.flatten(F.collect_list("labels")).alias("labels")))
     inside = (
-        blocks.select(*key, "y_top", "y_bottom").join(r, PAGE)
+        blocks.join(r.where(F.size("labels") > 0), PAGE)
         .where((F.col("y_center") >= F.col("y_top") - slack) & (F.col("y_center") <= F.col("y_bottom") + slack))
         .groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
         .where(F.size("labels") > 0)
     )
-    rest = blocks.select(*key, "y_top", "y_bottom").join(inside.select(*key), key, "left_anti")
+    rest = blocks.join(inside.select(*key), key, "left_anti")
     probes = rest.select(*key, F.explode(F.array("y_top", "y_bottom")).alias("y"))
     line = probes.withColumn("hit", F.lit(None).cast(f"struct<y:double,labels:{r.schema['labels'].dataType.simpleString()}>")).unionByName(
         r.select(*PAGE, F.lit(None).cast(blocks.schema["block_no"].dataType).alias("block_no"), F.col("y_center").alias("y"),
@@ -162,10 +221,14 @@ def assign_by_interval(blocks: DataFrame, rows: DataFrame, slack: float = 5.0) -
 def to_grid(words: DataFrame, edges: DataFrame, tol: float = 10.0) -> DataFrame:
     """L6. Cell text per (row, column): the column is the number of edges left of the word's centre."""
     xc = (F.col("x0") + F.col("x1")) / 2
-    placed = anchor_rows(words, tol).join(edges.select(*PAGE, "edges"), PAGE).withColumn(
-        "col_no", F.size(F.filter("edges", lambda e: e < xc)))
-    return placed.groupBy(*PAGE, "row_y", "col_no").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ").alias("cell"))
+    keys = [*PAGE, "row_y", "col_no"]
+    placed = words.join(edges.select(*PAGE, "edges"), PAGE).select(
+        *PAGE, "x0", "y0", "y1", "text", F.size(F.filter("edges", lambda e: e < xc)).alias("col_no"))
+    # A page is in one partition behind ``anchor_rows``, so that no further shuffle follows; its words are sorted by cell and
+    # joined as they stream past, where an aggregation would hold many open cells.
+    rows = anchor_rows(placed, tol).sortWithinPartitions(*keys, "x0", "text").select(*keys, "text")
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("cell", T.StringType())])
+    return rows.mapInArrow(_joined(keys), schema)
 
 
 def adjacent_grams(tokens: Column, upto: int = 3) -> Column:

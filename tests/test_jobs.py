@@ -253,3 +253,36 @@ def test_index_tasks_follow_the_text(spark, monkeypatch):
     size = docs.selectExpr("sum(octet_length(text))").first()[0]
     assert index.postings.rdd.getNumPartitions() == -(-size // 500) > 4
     assert rows(index) == want and (3, 3, 80, "alpha", 80) in want
+
+
+def test_grid_cells_and_intervals(spark):
+    """Grid cells are joined without an aggregation, as by hand; the blocks of the interval join are read once."""
+    from attestry.operators import layout
+
+    r = random.Random(3)
+    rows = [(d, p, float(r.randrange(0, 500, 25)), float(r.randrange(0, 60, 3)), r.choice(["a", "b", "c", None])) for d in (1, 2) for p in (0, 1) for _ in range(60)]
+    rows = [(d, p, x, y, x + 10, y + 8, t) for d, p, x, y, t in sorted(set(rows), key=str)]
+    words = spark.createDataFrame(rows, "doc_id long, page long, x0 double, y0 double, x1 double, y1 double, text string")
+    edges = spark.createDataFrame([(d, p, [0.0, 100.0, 300.0]) for d in (1, 2) for p in (0, 1)], "doc_id long, page long, edges array<double>")
+    want, anchors = {}, {}
+    for d, p, x, y, x1, y1, t in sorted(rows, key=lambda w: (w[0], w[1], w[3], w[2])):
+        seen = anchors.setdefault((d, p), [])
+        at = next((a for a in seen if abs((y + y1) / 2 - a) < 10), None)
+        if at is None:
+            seen.append(at := (y + y1) / 2)
+        want.setdefault((d, p, at, sum(e < (x + x1) / 2 for e in (0, 100, 300))), []).append((x, t or "", t))
+    out = layout.to_grid(words, edges)
+    assert {tuple(c)[:4]: c.cell for c in out.collect()} == {k: " ".join(t for _, _, t in sorted(v, key=lambda w: w[:2]) if t) for k, v in want.items()}
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().toString()
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    blocks = spark.createDataFrame([(1, 0, i, 30.0 * i, 30.0 * i + 9) for i in range(20)], "doc_id long, page long, block_no long, y_top double, y_bottom double")
+    lines = spark.createDataFrame([(1, 0, 45.0 * i, ["x"] if i % 3 else []) for i in range(12)], "doc_id long, page long, y_center double, labels array<string>")
+    got = layout.assign_by_interval(blocks.mapInPandas(count, blocks.schema), lines)
+    assert got.count() == 20 and read.value == 20
