@@ -38,3 +38,18 @@ def test_few_vectors_and_none(spark):
     assert cells.pruned_topk(q, v, 5).count() == 4
     assert cells.pruned_topk(q, v.limit(0), 5).count() == 0
     assert cells.pruned_topk(q.limit(0), v, 5).count() == 0
+
+
+def test_a_query_goes_to_a_bin_once(spark):
+    """Where no cell can be skipped, the rows that are sent are queries times bins, not queries times cells."""
+    m = np.random.default_rng(7).normal(size=(300, 24))
+    q, v = frames(spark, m)
+    index = cells.build_cells(v, pivots=20, block=100)
+    n_bins = 1 + max(b[-1] for b in index.bins.values())
+    assert len(index.radius) == 20 and n_bins <= 6
+    found = cells.pruned_topk(q, index, 5).collect()
+    rows = lambda df: sorted((x.query_id, x.rank, x.chunk_id, x.score) for x in df)
+    assert rows(found) == rows(vector.vector_topk(q, v, 5).collect())
+    assert cells.pruning_report(q, index, 5).first().pairs == 300 * 20
+    parts = cells._score(cells._bounds(q.withColumnRenamed("embedding", "_qe"), index, 5), index, 5, 1, True)
+    assert parts.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 5 * n_bins
