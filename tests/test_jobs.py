@@ -286,3 +286,46 @@ def test_grid_cells_and_intervals(spark):
     lines = spark.createDataFrame([(1, 0, 45.0 * i, ["x"] if i % 3 else []) for i in range(12)], "doc_id long, page long, y_center double, labels array<string>")
     got = layout.assign_by_interval(blocks.mapInPandas(count, blocks.schema), lines)
     assert got.count() == 20 and read.value == 20
+
+
+def test_search_in_rounds(spark, monkeypatch):
+    """More shards than a round has: the result stays, and no shuffle repeats the queries for all of them."""
+    r = random.Random(6)
+    word = lambda: f"w{chr(97 + min(int(r.expovariate(.2)), 25))}"
+    docs = spark.createDataFrame([(i, i % 90, " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(150)], "chunk_id int, doc_id int, text string")
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(5)) + f" {i}") for i in range(30)], "query_id int, text string")
+    index = lexical.index_of(lexical.build_lexical_index(docs).postings, store=True)
+    want = sorted(map(tuple, lexical.bm25_topk(q, index, 4, prune=False).select("query_id", "rank", "chunk_id", "doc_id", "score").collect()))
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", 40)
+    monkeypatch.setattr(lexical, "ROUND_SHARDS", 1)  # a task for each core, then
+    cut, rounds = lexical.cut_lineage, []
+
+    def count(df):
+        stored = cut(df)
+        if "score" in df.columns:
+            rounds.append(stored)
+        return stored
+
+    monkeypatch.setattr(lexical, "cut_lineage", count)
+    out = lexical.bm25_topk(q, index, 4).select("query_id", "rank", "chunk_id", "doc_id", "score")
+    assert sorted(map(tuple, out.collect())) == want
+    shards = -(-(index.terms.agg(F.sum("df")).first()[0]) // 40)
+    assert len(rounds) == -(-shards // spark.sparkContext.defaultParallelism) > 2
+
+
+def test_stored_tables_leave_no_shuffle(spark):
+    """What a stored table was made of is gone from the shuffle folder once it is written."""
+    import glob
+    import time
+
+    from attestry.scale import cut_lineage
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = held()
+    table = cut_lineage(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 20
+    while held() - before and time.time() < until:  # files go a moment later
+        time.sleep(.2)
+    assert not held() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
