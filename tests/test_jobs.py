@@ -329,3 +329,19 @@ def test_stored_tables_leave_no_shuffle(spark):
         time.sleep(.2)
     assert not held() - before and table.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_responses_take_their_evidence_in_parts(spark, sf, monkeypatch):
+    """No part gathers most of the evidence, together they lose none, and the texts of a response move once."""
+    from attestry.operators import audit as A
+    from attestry.plans.catalog import audit as V
+
+    whole = V.cited_documents(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(A.audit_pairs(V.responses(spark, sf), whole).select("response_id", F.md5("response_text"), F.md5("evidence_text")))
+    pairs, seen = A.audit_pairs, []
+    monkeypatch.setattr(V.A, "audit_pairs", lambda r, e, **how: (seen.append(e.count()), pairs(r, e, **how))[1])
+    assert rows(V.v1(spark, sf)) == want
+    assert sum(seen) == whole.count() and 0 < max(seen) < 0.6 * sum(seen)
+    p = pairs(V.responses(spark, sf), whole, parts=True).withColumn("answer", F.col("raw"))
+    assert rows(A.citation_accuracy(p, mode="contains")) == rows(A.citation_accuracy(p.drop("evidence_parts"), whole, mode="contains"))
