@@ -216,6 +216,32 @@ def test_only_a_partial_match_lifts_a_hit(spark):
         assert {x.chunk_id for x in kept} == {1}
 
 
+def test_keywords_are_linked_to_words_of_hits_only(spark, monkeypatch):
+    """Words of chunks that no query hit are not compared with the keywords, and their absence changes no score."""
+    from attestry.operators import fusion
+
+    chunks = spark.createDataFrame([(1, 1, "zzzz planetarium qqqq"), (2, 2, "planetaria vvvv"), (3, 3, "planetarius wwww")], "chunk_id int, doc_id int, text string")
+    queries = spark.createDataFrame([(7, "planetariun")], "query_id int, text string")
+    hits = spark.createDataFrame([(7, 1, 1, .01), (7, 2, 2, .01)], "query_id int, chunk_id int, doc_id int, rrf_score double")
+    postings, asked, link = lexical.build_lexical_index(chunks).postings, [], fusion.keyword_links
+    monkeypatch.setattr(fusion, "keyword_links", lambda keywords, words: asked.append({x.word for x in words.collect()}) or link(keywords, words))
+    related = lambda **more: sorted(map(tuple, fusion.with_keyword_relevance(hits, queries, chunks, postings=postings, **more).collect()))
+    found = related()
+    assert {"planetarium", "planetaria", "vvvv"} <= asked[0] and not {"planetarius", "wwww"} & asked[0]
+    words = spark.createDataFrame([(w,) for w in ("planetarium", "planetaria", "planetarius")], "word string")
+    assert found == related(links=link(spark.createDataFrame([("planetariun",)], "keyword string"), words))
+
+
+def test_computed_vectors_are_not_counted(spark, monkeypatch):
+    """A number of vectors that is known replaces the count, and the result does not depend on it."""
+    v = spark.range(50).selectExpr("id AS chunk_id", "array(double(id % 7), double(id % 5), 1D) AS embedding")
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    rows, counted = lambda df: sorted(map(tuple, df.collect())), []
+    once = rows(vector.vector_topk(q, v, 3))
+    monkeypatch.setattr(type(v), "count", lambda df: counted.append(df.columns) or 50)
+    assert rows(vector.vector_topk(q, v, 3, n_vectors=20_000)) == once and counted == [["query_id", "_qe"]]
+
+
 def test_search_moves_each_posting_once(spark, monkeypatch):
     """Many shards and packs that cut chunks in two give what scoring all pairs gives; postings are never repeated for blocks of queries."""
     r = random.Random(5)
