@@ -1,6 +1,7 @@
 """Fuzzy ratios and joins against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,30 @@ def test_a_hot_segment_is_salted(spark):
     right = spark.createDataFrame([("k", str(i)) for i in range(1000)] + [("other", "x")], "key string, r string")
     got = salted_join(left, right, "key", "r", most=100)
     assert got.count() == 5001 and got.distinct().count() == 5001 and got.columns == ["key", "l", "r"]
+
+
+def test_long_sentences_in_a_long_text():
+    """Unrelated texts just below the threshold, the dearest case."""
+    text = " ".join(words(5_000, 1, (3, 9), "etaoinshrdlu"))
+    w, began = Z.Windows(text), time.perf_counter()
+    assert [Z.partial_ratio(" ".join(words(230, i, (3, 9), "etaoinshrdlu")), text, 75, w) >= 75 for i in range(2, 22)] == [False] * 20
+    assert time.perf_counter() - began < 8
+    cut = list(text[9_000:10_500])
+    for i in range(0, len(cut), 6):
+        cut[i] = "#"
+    assert Z.partial_ratio("".join(cut), text, 83, w) >= 83 > Z.partial_ratio("".join(cut), text, 84, w)
+
+
+def test_windows_of_every_length_match_brute_force():
+    r = random.Random(8)
+    for _ in range(150):
+        text = words(1, r.random(), (5, 160), "abcd é")[0]
+        a = words(1, r.random(), (1, len(text)), "abcd éx")[0]
+        want = max(lcs(a, text[i : i + len(a)]) for i in range(len(text) - len(a) + 1))
+        assert Z.Windows(text).best(a, -1, len(a) + 1) == want
+
+
+def test_sentences_and_facts_are_searched_together(spark):
+    rows = [([["alpha beta", "nothing"], ["alpha beta"], []], "xx alpha beto yy"), ([[], ["a"], []], "")]
+    got = spark.createDataFrame(rows, "l array<array<string>>, t string").select(Z.shares_matched(.8)("l", "t").alias("s")).collect()
+    assert [r.s for r in got] == [[.5, 1.0, 0.0], [0.0, 0.0, 0.0]]
