@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,24 @@ def test_sentences_and_facts_are_searched_together(spark):
     rows = [([["alpha beta", "nothing"], ["alpha beta"], []], "xx alpha beto yy"), ([[], ["a"], []], "")]
     got = spark.createDataFrame(rows, "l array<array<string>>, t string").select(Z.shares_matched(.8)("l", "t").alias("s")).collect()
     assert [r.s for r in got] == [[.5, 1.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+def test_the_best_unit_is_the_first_of_the_best():
+    r, vocabulary = random.Random(4), ["a", "b", "ab", "the", "né", "가나", "abc", "zz"]
+    mk = lambda n: "".join(r.choice(vocabulary) + r.choice(" \t") for _ in range(r.randint(0, n)))
+    for _ in range(300):
+        texts, lines = [mk(6) for _ in range(r.randint(0, 9))], [mk(7) for _ in range(3)]
+        units = Z.Units(texts, lines)
+        for line in lines:
+            scores = [Z.token_set_ratio(line, u) if u else -1.0 for u in texts]
+            want = (scores.index(max(scores)), max(scores)) if scores and max(scores) >= 0 else (-1, -1.0)
+            assert units.best(line) == want
+
+
+def test_lines_pass_all_units_at_once(monkeypatch):
+    """Before, a line was compared with each unit by itself, also where they share no word."""
+    calls, one = [], Z._set_ratio
+    monkeypatch.setattr(Z, "_set_ratio", lambda *a: calls.append(a) or one(*a))
+    units, lines = [" ".join(words(9, i, (3, 9), "etaoi")) for i in range(200)], [" ".join(words(9, -i, (3, 9), "nshrd")) for i in range(1, 9)]
+    found = Z.best_units.func(pd.Series([lines]), pd.Series([units]))[0]
+    assert not calls and [x["score"] for x in found] == [max(one(set(x.split()), set(u.split()), -1.0) for u in units) / 100 for x in lines]
