@@ -183,6 +183,55 @@ def test_lines_pass_all_units_at_once(monkeypatch):
     """Before, a line was compared with each unit by itself, also where they share no word."""
     calls, one = [], Z._set_ratio
     monkeypatch.setattr(Z, "_set_ratio", lambda *a: calls.append(a) or one(*a))
-    units, lines = [" ".join(words(9, i, (3, 9), "etaoi")) for i in range(200)], [" ".join(words(9, -i, (3, 9), "nshrd")) for i in range(1, 9)]
+    units, lines = [" ".join(words(9, i, (3, 9), "etaoi")) for i in range(200)], [" ".join(words(9, i, (3, 9), "nshrd")) for i in range(8)]
     found = Z.best_units.func(pd.Series([lines]), pd.Series([units]))[0]
     assert not calls and [x["score"] for x in found] == [max(one(set(x.split()), set(u.split()), -1.0) for u in units) / 100 for x in lines]
+
+
+def entities_of_two_responses(spark):
+    mk = lambda n, seed: words(n, seed, (3, 8), "abé")
+    rows = {i: (mk(25, i), mk(40, 10 + i)) for i in (1, 2)}
+    rs = spark.createDataFrame([(i, " ".join(a)) for i, (a, _) in rows.items()] + [(3, "no evidence")], "response_id int, answer string")
+    ev = spark.createDataFrame([(i, k, " ".join(b[k::2])) for i, (_, b) in rows.items() for k in (0, 1)], "response_id int, rank int, text string")
+    return rows, rs, ev
+
+
+def no_pairs_move(df):
+    """One join, of a row for each response: before, three joins moved all pairs of entities."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_variations_match_brute_force_and_no_pair_moves(spark):
+    from difflib import SequenceMatcher
+
+    rows, rs, ev = entities_of_two_responses(spark)
+    want = set()
+    for i, (ours, theirs) in rows.items():
+        for a in {a for a in ours if len(a) >= 4} - set(theirs):
+            found = [(SequenceMatcher(None, a, b).ratio(), b) for b in theirs if b[:2] == a[:2]]
+            found = [x for x in found if .7 < x[0] < .95]
+            if found:
+                want.add((i, a, max(found)[1], round(max(found)[0], 6)))
+    out = A.entity_variations(rs, ev)
+    assert {tuple(x) for x in out.collect()} == want and len(want) > 10 and no_pairs_move(out)
+
+
+def test_corrections_match_brute_force_and_no_pair_moves(spark):
+    from difflib import SequenceMatcher
+
+    rows, rs, ev = entities_of_two_responses(spark)
+
+    def score(a, b):
+        ga, gb = ({x[i : i + 2] for i in range(len(x) - 1)} for x in (a, b))
+        head = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+        seq = SequenceMatcher(None, a, b).ratio()
+        return seq * .5 + len(ga & gb) / len(ga | gb) * .3 + head / min(len(a), len(b)) * .2, seq
+
+    want = set()
+    for i, (ours, theirs) in rows.items():
+        for a in set(ours) - set(theirs):
+            found = [(score(a, b)[0], b) for b in theirs if a[0] == b[0] and abs(len(a) - len(b)) <= 3 and min(score(a, b)) > .6]
+            if found:
+                want.add((i, a, max(found)[1]))
+    out = A.entity_corrections(rs, ev, threshold=.6)
+    assert {tuple(x)[:3] for x in out.collect()} == want and len(want) > 5 and no_pairs_move(out)
