@@ -235,3 +235,21 @@ def test_corrections_match_brute_force_and_no_pair_moves(spark):
                 want.add((i, a, max(found)[1]))
     out = A.entity_corrections(rs, ev, threshold=.6)
     assert {tuple(x)[:3] for x in out.collect()} == want and len(want) > 5 and no_pairs_move(out)
+
+
+def test_lines_meet_all_texts_of_a_response_at_once(spark):
+    """Scores of a row's lines and texts equal those of the column form, pair by pair."""
+    from attestry.functions import similarity as S
+    from attestry.operators import citations as C
+
+    r = random.Random(9)
+    mk = lambda n: " ".join(r.choice(["a", "ab", "abc", "xabcx", "né", "가나다", "long word", "x y"]) for _ in range(r.randint(0, n)))
+    rows = [([mk(5) for _ in range(3)], [mk(8) for _ in range(2)]) for _ in range(60)]
+    df = spark.createDataFrame(rows, "l array<string>, t array<string>")
+    got = [x.s for x in df.select(S.content_scores("l", "t").alias("s")).collect()]
+    pairs = df.select(F.array(*[F.array(*[S.content_similarity_normed(F.get("l", F.lit(i)), F.get("t", F.lit(k))) for k in (0, 1)]) for i in (0, 1, 2)]).alias("s"))
+    assert got == [x.s for x in pairs.collect()]
+    ev = spark.createDataFrame([(1, 1, 5, "alpha beta gamma"), (1, 2, 6, "delta")], "response_id int, rank int, doc_id int, text string")
+    lines = spark.createDataFrame([(1, [("alpha beta",), ("none",)]), (2, [("alpha",)])], "response_id int, lines array<struct<na:string>>")
+    found = {(x.l.na, x["rank"], x.doc_id): x.score for x in C.line_scores(lines, ev).collect()}
+    assert found == {("alpha beta", 1, 5): 1.0, ("alpha beta", 2, 6): 0.0, ("none", 1, 5): 0.0, ("none", 2, 6): 0.0}
