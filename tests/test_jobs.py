@@ -371,3 +371,9 @@ def test_responses_take_their_evidence_in_parts(spark, sf, monkeypatch):
     assert sum(seen) == whole.count() and 0 < max(seen) < 0.6 * sum(seen)
     p = pairs(V.responses(spark, sf), whole, parts=True).withColumn("answer", F.col("raw"))
     assert rows(A.citation_accuracy(p, mode="contains")) == rows(A.citation_accuracy(p.drop("evidence_parts"), whole, mode="contains"))
+
+
+def test_quality_metrics_store_no_texts(spark, sf):
+    """a4 needs the documents' ids only: before, it stored and read back the texts that responses cite."""
+    files = entry.queries()["a4_quality_metrics"](spark, sf).inputFiles()
+    assert any(f.endswith("documents.parquet") for f in files)
