@@ -215,3 +215,14 @@ def test_suffix_names_of_a_long_text(spark):
     got = val(spark, F.struct(F.length(layout.strip_suffix_terms(F.repeat(s("가나 다라 "), 300_000))["title"]).alias("n"),
                               layout.strip_suffix_terms(F.concat(F.repeat(s("가나 다라 "), 300_000), s("감사실  총무과 \r\n ")))["removed"].alias("removed")))
     assert (got["n"], got["removed"]) == (len(body), ["감사실", "총무과"]) and time.time() - began < 8
+
+
+def test_words_take_one_pass(spark):
+    """Before, punctuation was written over with spaces first, a second pass over each text."""
+    from attestry.functions.tokens import words
+
+    texts = ["A-b c_d\te f g 가,나 x1.²y", "", "--", "né́!Q"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    two = F.regexp_extract_all(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}_\s]", " "), F.lit(r"\S+"), F.lit(0))
+    assert all(r.a == r.b for r in df.select(words(F.col("t")).alias("a"), two.alias("b")).collect())
+    assert "regexp_replace" not in df.select(words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
